@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from lexspark.llm import packing
+from lexspark.llm import packing, repeats
 from lexspark.session import table
 
 
+def p1_found(spark, sf_dir):
+    return repeats.find_repeated_lines(table(spark, sf_dir, "lines"), table(spark, sf_dir, "documents_meta"))
+
+
+def p1_cut_documents(spark, sf_dir):
+    lines = table(spark, sf_dir, "lines")
+    return repeats.cut_repeated_lines(lines, repeats.find_repeated_lines(lines, table(spark, sf_dir, "documents_meta")))
+
+
 def p6_pack_documents(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
