@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspark.llm import packing, repeats
+from lexspark.llm import neighbours, packing, repeats
 from lexspark.session import table
 
 
@@ -15,6 +15,10 @@ def p1_cut_documents(spark, sf_dir):
     return repeats.cut_repeated_lines(lines, repeats.find_repeated_lines(lines, table(spark, sf_dir, "documents_meta")))
 
 
+def p2_found(spark, sf_dir):
+    return neighbours.neighbour_pairs(neighbours.nearest(table(spark, sf_dir, "query_embeddings")))
+
+
 def p6_pack_documents(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
