@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspark.llm import neighbours, packing, repeats
+from lexspark.llm import neighbours, packing, pieces, repeats
 from lexspark.session import table
 
 
@@ -19,6 +19,15 @@ def p2_found(spark, sf_dir):
     return neighbours.neighbour_pairs(neighbours.nearest(table(spark, sf_dir, "query_embeddings")))
 
 
+def p4_found(spark, sf_dir):
+    return pieces.split_oversized(table(spark, sf_dir, "chunks"))
+
+
+def p4_pieces(spark, sf_dir):
+    chunks = table(spark, sf_dir, "chunks")
+    return pieces.cut_text(chunks, pieces.split_oversized(chunks))
+
+
 def p6_pack_documents(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
