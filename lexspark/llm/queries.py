@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspark.llm import neighbours, packing, pieces, repeats
+from lexspark.llm import leaks, neighbours, packing, pieces, repeats
 from lexspark.session import table
 
 
@@ -32,6 +32,10 @@ def p6_pack_documents(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def p7_found(spark, sf_dir):
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_cases"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
