@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspark.llm import leaks, neighbours, packing, pieces, repeats
+from lexspark.llm import leaks, neighbours, packing, pieces, repeats, stuffed
 from lexspark.session import table
 
 
@@ -36,6 +36,10 @@ def p7_found(spark, sf_dir):
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_cases"))
 
 
+def p8_found(spark, sf_dir):
+    return stuffed.find_stuffed_pages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
