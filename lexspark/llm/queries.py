@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspark.llm import leaks, neighbours, packing, pieces, repeats, stuffed
+from lexspark.llm import alignment, leaks, neighbours, packing, pieces, repeats, stuffed
 from lexspark.session import table
 
 
@@ -28,6 +28,10 @@ def p4_pieces(spark, sf_dir):
     return pieces.cut_text(chunks, pieces.split_oversized(chunks))
 
 
+def p5_found(spark, sf_dir):
+    return alignment.align_sentences(table(spark, sf_dir, "bilingual_documents")).select("doc_id", "left_no", "right_no").distinct()
+
+
 def p6_pack_documents(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
