@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspark.llm import alignment, leaks, neighbours, packing, pieces, repeats, stuffed
+from lexspark.llm import alignment, leaks, neighbours, packing, pieces, repeats, scans, stuffed
 from lexspark.session import table
 
 
@@ -19,6 +19,18 @@ def p2_found(spark, sf_dir):
     return neighbours.neighbour_pairs(neighbours.nearest(table(spark, sf_dir, "query_embeddings")))
 
 
+def _scanned(spark, sf_dir):
+    return table(spark, sf_dir, "lines"), table(spark, sf_dir, "paragraphs"), table(spark, sf_dir, "documents_meta")
+
+
+def p3_found(spark, sf_dir):
+    return scans.find_noise(*_scanned(spark, sf_dir))
+
+
+def p3_paragraphs(spark, sf_dir):
+    return scans.repair_scans(*_scanned(spark, sf_dir))
+
+
 def p4_found(spark, sf_dir):
     return pieces.split_oversized(table(spark, sf_dir, "chunks"))
 
