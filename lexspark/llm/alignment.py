@@ -15,13 +15,13 @@ of one doc_id count once (the greatest); an empty table gives an empty result; o
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lexspark.llm.batches import map_rows
 from lexspark.session import written
 
 CONCEPTS, STRONGEST, SPAN = 256, 32, 3
@@ -127,16 +127,15 @@ def sentence_vectors(pairs: DataFrame, model: TermModel) -> DataFrame:
             out.append([(k, x / norm) for k, x in v.items()])
         return out
 
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc, a, b in zip(pdf["doc_id"], pdf["a"], pdf["b"], strict=True):
-                alike = model.alike(a, b)
-                rows.append((doc, *([[{"d": k, "w": x} for k, x in v] for v in sparse(*model.dense(side, s, alike))] for side, s in (("a", a), ("b", b)))))
-            yield pd.DataFrame(rows, columns=["doc_id", "a", "b"])
+    def vectors(rows: list[dict]) -> list[dict]:
+        out = []
+        for r in rows:
+            alike = model.alike(r["a"], r["b"])
+            out.append({"doc_id": r["doc_id"]} | {side: [[{"d": k, "w": x} for k, x in v] for v in sparse(*model.dense(side, r[side], alike))] for side in "ab"})
+        return out
 
-    kind, vector = pairs.schema["doc_id"].dataType.simpleString(), "array<array<struct<d:int,w:float>>>"
-    return pairs.mapInPandas(vectors, f"doc_id {kind}, a {vector}, b {vector}")
+    vector = T.ArrayType(T.ArrayType(T.StructType([T.StructField("d", T.IntegerType()), T.StructField("w", T.FloatType())])))
+    return map_rows(pairs.select("doc_id", "a", "b"), vectors, T.StructType([pairs.schema["doc_id"], T.StructField("a", vector), T.StructField("b", vector)]))
 
 
 def products(vectors: DataFrame) -> DataFrame:
@@ -205,13 +204,12 @@ def align_sentences(documents: DataFrame, id_col: str = "doc_id", left: str = "l
     near = products(sentence_vectors(pairs, model)).groupBy("doc_id").agg(F.collect_list(F.struct("i", "j")).alias("near"))
     rows = pairs.join(near, "doc_id").select("doc_id", "flipped", "a", "b", "near")
 
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                found = best_spans(Document(model, r.a, r.b), sorted((x["i"], x["j"]) for x in r.near))
-                out += [(r.doc_id, *((t, s) if r.flipped else (s, t)), c) for s, t, c in found]
-            yield pd.DataFrame(out, columns=["doc_id", "left_no", "right_no", "cosine"])
+    def choose(batch: list[dict]) -> list[dict]:
+        out = []
+        for r in batch:
+            found = best_spans(Document(model, r["a"], r["b"]), sorted((x["i"], x["j"]) for x in r["near"]))
+            out += [{"doc_id": r["doc_id"], "left_no": t if r["flipped"] else s, "right_no": s if r["flipped"] else t, "cosine": c} for s, t, c in found]
+        return out
 
-    kind = pairs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(choose, f"doc_id {kind}, left_no int, right_no int, cosine double")
+    numbers = [T.StructField("left_no", T.IntegerType()), T.StructField("right_no", T.IntegerType()), T.StructField("cosine", T.DoubleType())]
+    return map_rows(rows, choose, T.StructType([pairs.schema["doc_id"], *numbers]))
