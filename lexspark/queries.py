@@ -1,11 +1,362 @@
-"""Registered queries of the core operators and the SQL they are compared with."""
+"""Registered queries of the core operators and the SQL they are compared with.
+
+Searches take as queries every row whose id is divisible by 100, against all rows.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from lexspark.functions import text as T
+from lexspark.operators import bm25, chunking, cleanup, evaluation, fusion, grounding, layout, vector
+from lexspark.plans import pipelines
+from lexspark.session import table
+from lexspark.sources import tables
+
+CHUNK_KEYS = ["doc_id", "chunk_seq"]
+CHUNK_COLUMNS = ["doc_id", "chunk_seq", "text", "section", "subsection", "heading", "part"]
+
+
+def _chunks(spark, sf_dir):
+    """Chunks, repeated rows once, with citation and indexed text."""
+    rows = table(spark, sf_dir, "chunks").select(*CHUNK_COLUMNS).distinct()
+    c = [F.col(x) for x in ("section", "subsection", "part")]
+    return rows.withColumns({"citation": T.citation(*c), "indexed": T.indexed_text(*c, F.col("heading"), F.col("text"))})
+
+
+def _lines(spark, sf_dir):
+    return table(spark, sf_dir, "lines").select("doc_id", "seq", "page", "block", "x0", "y0", "text").distinct()
+
+
+def _questions(spark, sf_dir):
+    return table(spark, sf_dir, "query_embeddings").filter("query_id % 100 = 0 AND question IS NOT NULL").select("query_id", "question")
+
+
+def _search(spark, sf_dir, k, question="question"):
+    postings = bm25.build_postings(_chunks(spark, sf_dir), CHUNK_KEYS, "indexed")
+    return bm25.search(table(spark, sf_dir, "eval_cases"), postings, "case_id", CHUNK_KEYS, k) if question == "question" else bm25.top_k(
+        bm25.scores(table(spark, sf_dir, "eval_cases"), postings, "case_id", CHUNK_KEYS, question), "case_id", CHUNK_KEYS, k
+    )
+
+
+def bm25_topk(spark, sf_dir):
+    return _search(spark, sf_dir, 10)
+
+
+def token_counts(spark, sf_dir):
+    return bm25.term_counts(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def doc_lengths(spark, sf_dir):
+    return bm25.lengths(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def idf_table(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    idf = bm25.idf_table(bm25.term_counts(docs, ["doc_id"]), docs.agg(F.count("*").alias("n")))
+    return idf.withColumn("idf", F.round("idf", 9))
+
+
+def bm25_postings(spark, sf_dir):
+    return bm25.build_postings(_chunks(spark, sf_dir), CHUNK_KEYS, "indexed").withColumn("impact", F.round("impact", 9))
+
+
+def l2_normalize(spark, sf_dir):
+    v = vector.l2_normalize(F.col("embedding"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vector.norm(F.col("embedding")), 9).alias("norm"), F.round(v[0], 9).alias("first"), F.size(v).alias("dims"))
+
+
+def _near(spark, sf_dir, k):
+    base = vector.unit_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    queries = base.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "v")
+    return vector.nearest(queries, base, "query_id", "vec_id", k)
+
+
+def cosine_topk(spark, sf_dir):
+    return _near(spark, sf_dir, 10)
+
+
+def _labelled(spark, sf_dir, k):
+    """The k nearest vectors other than the query itself, with labels as citations."""
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("L"), F.col("label")).alias("citation"))
+    near = _near(spark, sf_dir, k + 1).filter("vec_id <> query_id").withColumnRenamed("query_id", "case_id")
+    return bm25.top_k(near.drop("rk"), "case_id", ["vec_id"], k).join(labels, "vec_id").withColumn("heading", F.lit(None).cast("string"))
+
+
+def support_score(spark, sf_dir):
+    queries = table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"))
+    near = _labelled(spark, sf_dir, 5).withColumnRenamed("case_id", "query_id")
+    return vector.support_score(near, queries, "query_id")
+
+
+def support_distribution(spark, sf_dir):
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("grp"))
+    return evaluation.support_distribution(support_score(spark, sf_dir).join(labels, "query_id"))
+
+
+def _cases(spark, sf_dir):
+    cases = table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("case_id"), F.concat(F.lit("L"), F.col("label")).alias("category"), "label")
+    other = F.concat(F.lit("L"), (F.col("label") + 1) % 10)
+    targets = F.array(F.struct(F.lit(0).alias("exp_no"), F.col("category").alias("citation")), F.struct(F.lit(1).alias("exp_no"), other.alias("citation")))
+    expected = cases.select("case_id", F.explode(targets).alias("t")).select("case_id", "t.exp_no", "t.citation", F.lit(None).cast("string").alias("term"))
+    return cases.select("case_id", "category"), expected
+
+
+def retrieval_eval_rollup(spark, sf_dir):
+    cases, expected = _cases(spark, sf_dir)
+    return pipelines.evaluate(cases, expected, _labelled(spark, sf_dir, 5))
+
+
+def retrieval_ranks(spark, sf_dir):
+    _, expected = _cases(spark, sf_dir)
+    return evaluation.expectation_ranks(expected, _labelled(spark, sf_dir, 5))
+
+
+def _keyed(df):
+    return df.withColumn("chunk", F.concat_ws("-", "doc_id", "chunk_seq"))
+
+
+def rrf_fusion(spark, sf_dir):
+    one = _keyed(_search(spark, sf_dir, 20)).select("case_id", F.lit(0).alias("ranking_no"), F.col("rk").alias("rank"), "chunk")
+    two = _keyed(_search(spark, sf_dir, 20, "passage")).select("case_id", F.lit(1).alias("ranking_no"), F.col("rk").alias("rank"), "chunk")
+    return fusion.reciprocal_rank_fusion(one.unionByName(two), "case_id", "chunk").filter("rk <= 10")
+
+
+def parse_citation_query(spark, sf_dir):
+    return fusion.parse_citation_queries(table(spark, sf_dir, "query_embeddings"), "query_id")
+
+
+def structured_lookup(spark, sf_dir):
+    return fusion.structured_lookup(fusion.parse_citation_queries(_questions(spark, sf_dir), "query_id"), _chunks(spark, sf_dir), "query_id", CHUNK_KEYS)
+
+
+def hybrid_retrieve(spark, sf_dir):
+    chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
+    ranking = _keyed(bm25.search(questions, bm25.build_postings(chunks, CHUNK_KEYS, "indexed"), "query_id", CHUNK_KEYS, fusion.CANDIDATE_DEPTH))
+    fused = fusion.reciprocal_rank_fusion(ranking.select("query_id", F.lit(0).alias("ranking_no"), F.col("rk").alias("rank"), "chunk"), "query_id", "chunk")
+    first = _keyed(fusion.structured_lookup(fusion.parse_citation_queries(questions, "query_id"), chunks, "query_id", CHUNK_KEYS))
+    return fusion.hybrid(first.select("query_id", "chunk", "rk"), fused.select("query_id", "chunk", "rk"), "query_id", "chunk", 10)
+
+
+def cited_provisions(spark, sf_dir):
+    return grounding.extract_citations(_chunks(spark, sf_dir), CHUNK_KEYS)
+
+
+def _audited(spark, sf_dir):
+    """The citations of every chunk against the provisions of its own document."""
+    chunks = _chunks(spark, sf_dir)
+    cited = grounding.extract_citations(chunks, CHUNK_KEYS)
+    citing = cited.select(*CHUNK_KEYS).distinct()
+    retrieved = citing.join(chunks.select("doc_id", "section", "subsection", "text"), "doc_id")
+    return grounding.audit_citations(cited, retrieved, CHUNK_KEYS)
+
+
+def citation_audit(spark, sf_dir):
+    return _audited(spark, sf_dir)
+
+
+def answer_warnings(spark, sf_dir):
+    return grounding.warnings(grounding.audit_lists(_audited(spark, sf_dir), CHUNK_KEYS))
+
+
+def refusal_rate(spark, sf_dir):
+    chunks = _chunks(spark, sf_dir)
+    declined = grounding.refusals(chunks.select(*CHUNK_COLUMNS), ["doc_id", "chunk_seq", "part"])
+    return declined.groupBy("part").agg(F.count("*").alias("n"), F.count_if("declined").alias("declined"))
+
+
+def context_build(spark, sf_dir):
+    full = _search(spark, sf_dir, 3).join(_chunks(spark, sf_dir).select(*CHUNK_KEYS, "citation", "text"), CHUNK_KEYS)
+    return grounding.build_context(full, ["case_id"])
+
+
+def hyphen_vocabulary(spark, sf_dir):
+    return cleanup.hyphen_vocabulary(_lines(spark, sf_dir))
+
+
+def running_headers(spark, sf_dir):
+    return cleanup.repeated_texts(_lines(spark, sf_dir))
+
+
+def header_islands(spark, sf_dir):
+    marked = cleanup.mark_headers(_lines(spark, sf_dir), table(spark, sf_dir, "documents_meta"))
+    return marked.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("is_header").alias("n_headers"))
+
+
+def front_matter(spark, sf_dir):
+    return cleanup.front_matter(_lines(spark, sf_dir))
+
+
+def paragraphs_from_lines(spark, sf_dir):
+    return cleanup.to_paragraphs(_lines(spark, sf_dir), table(spark, sf_dir, "documents_meta"))
+
+
+def detect_layout(spark, sf_dir):
+    return layout.detect_layout(_lines(spark, sf_dir), table(spark, sf_dir, "documents_meta"))
+
+
+def _sided(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    return layout.reading_order(layout.assign_columns(lines, layout.detect_layout(lines, table(spark, sf_dir, "documents_meta"))))
+
+
+def reading_order(spark, sf_dir):
+    return _sided(spark, sf_dir).select("doc_id", "seq", "side", "place")
+
+
+def column_text(spark, sf_dir):
+    return layout.column_text(_sided(spark, sf_dir))
+
+
+def merge_page_breaks(spark, sf_dir):
+    return chunking.merge_page_breaks(_paragraphs(spark, sf_dir))
+
+
+def _paragraphs(spark, sf_dir):
+    return table(spark, sf_dir, "paragraphs").select("doc_id", "para_seq", "page", "block", "text").distinct()
+
+
+def classify_paragraphs(spark, sf_dir):
+    sided = _sided(spark, sf_dir).filter("side = 'left'")
+    return chunking.classify(cleanup.to_paragraphs(sided, table(spark, sf_dir, "documents_meta"))).select("doc_id", "para_seq", "kind", "section", "subsection", "heading", "part")
+
+
+def chunk_sections(spark, sf_dir):
+    return pipelines.build_chunks(_lines(spark, sf_dir), table(spark, sf_dir, "documents_meta"))
+
+
+def split_items(spark, sf_dir):
+    return _chunks(spark, sf_dir).select(*CHUNK_KEYS, F.posexplode(chunking.split_items(F.col("text"))).alias("piece_no", "piece"))
+
+
+def chunk_fingerprint(spark, sf_dir):
+    return tables.fingerprint(_chunks(spark, sf_dir), "lexvec-a", CHUNK_KEYS)
+
+
+def missing_questions(spark, sf_dir):
+    cache = table(spark, sf_dir, "query_embeddings").withColumnRenamed("embeddings", "embedding")
+    return tables.missing_questions(cache.filter("question IS NOT NULL").select("question"), cache, "lexvec-a")
+
 
 def queries() -> dict:
-    return {}
+    names = """bm25_topk token_counts doc_lengths idf_table bm25_postings l2_normalize cosine_topk support_score support_distribution
+    retrieval_eval_rollup retrieval_ranks rrf_fusion parse_citation_query structured_lookup hybrid_retrieve cited_provisions citation_audit
+    answer_warnings refusal_rate context_build hyphen_vocabulary running_headers header_islands front_matter paragraphs_from_lines detect_layout
+    reading_order column_text merge_page_breaks classify_paragraphs chunk_sections split_items chunk_fingerprint missing_questions""".split()
+    return {n: globals()[n] for n in names}
+
+
+_TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+(?:-[a-z0-9]+)*')"
+_CITATION = """CASE WHEN part = 'SCHEDULE' THEN CASE WHEN coalesce(section,'') = '' THEN 'Schedule' ELSE 'Schedule, item ' || section END
+  WHEN coalesce(section,'') = '' THEN '(uncited)' ELSE 's. ' || section || CASE WHEN coalesce(subsection,'') <> '' THEN '(' || subsection || ')' ELSE '' END END"""
+_CHUNKS = f"""c AS (SELECT *, {_CITATION} citation, concat_ws(' ', {_CITATION}, nullif(heading,''), text) indexed
+  FROM (SELECT DISTINCT doc_id, chunk_seq, text, section, subsection, heading, part FROM chunks))"""
+_POSTINGS = f"""{_CHUNKS}, t AS (SELECT doc_id, chunk_seq, {_TOKENS.format('indexed')} tokens FROM c),
+  whole AS (SELECT count(*) n, avg(len(tokens)) average FROM t),
+  tf AS (SELECT doc_id, chunk_seq, term, count(*) tf FROM (SELECT doc_id, chunk_seq, unnest(tokens) term FROM t) GROUP BY ALL),
+  df AS (SELECT term, count(*) df FROM tf GROUP BY term),
+  p AS (SELECT tf.term, tf.doc_id, tf.chunk_seq, tf.tf, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * len(tokens) / average)) impact
+    FROM tf JOIN df ON tf.term = df.term JOIN t ON tf.doc_id = t.doc_id AND tf.chunk_seq = t.chunk_seq CROSS JOIN whole)"""
+
+
+def _ranked(key: str, source: str, column: str, k: int, name: str) -> str:
+    """CTEs of the k best chunks of each query by BM25."""
+    return f"""{name}q AS (SELECT {key}, term, count(*) qtf FROM (SELECT {key}, unnest({_TOKENS.format(column)}) term FROM {source}) GROUP BY ALL),
+  {name}s AS (SELECT {key}, doc_id, chunk_seq, round(sum(impact * qtf), 9) score FROM p JOIN {name}q ON p.term = {name}q.term GROUP BY ALL),
+  {name} AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {key} ORDER BY score DESC, doc_id, chunk_seq) AS INTEGER) rk FROM {name}s) WHERE rk <= {k})"""
+
+
+_UNIT = """u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 1e-12)) v FROM embeddings)"""
+_NEAR = f"""{_UNIT}, s AS (SELECT q.vec_id query_id, b.vec_id, b.label, round(list_sum(list_transform(range(1, len(b.v) + 1), lambda i: q.v[i] * b.v[i])), 9) score
+  FROM u q JOIN u b ON q.vec_id % 100 = 0)"""
+_LABELLED = f"""{_NEAR}, r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rk FROM s WHERE vec_id <> query_id) WHERE rk <= 5)"""
+_RANKS = f"""{_LABELLED}, e AS (SELECT vec_id case_id, 0 exp_no, label l, 'L' || label category FROM embeddings WHERE vec_id % 100 = 0
+    UNION ALL SELECT vec_id, 1, (label + 1) % 10, 'L' || label FROM embeddings WHERE vec_id % 100 = 0),
+  x AS (SELECT case_id, exp_no, category, min(rk) rank FROM e LEFT JOIN r ON r.query_id = e.case_id AND r.label = e.l GROUP BY ALL)"""
+_PARSED = r"""(?i)\b(?:sub)?section\s+(\d+(?:\.\d+)?)(?:\s*\((\d+)\))?|\bs\.\s*(\d+(?:\.\d+)?)"""
+_PARSE = f"""parsed AS (SELECT * FROM (SELECT query_id, coalesce(nullif(regexp_extract(question, '{_PARSED}', 1), ''), nullif(regexp_extract(question, '{_PARSED}', 3), '')) section,
+  nullif(regexp_extract(question, '{_PARSED}', 2), '') subsection FROM {{}}) WHERE section IS NOT NULL)"""
+_ASKED = "asked AS (SELECT query_id, question FROM query_embeddings WHERE query_id % 100 = 0 AND question IS NOT NULL)"
+_LOOKUP = """lookup AS (SELECT query_id, doc_id, chunk_seq, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
+    CASE WHEN q.subsection IS NULL OR c.subsection IS NOT DISTINCT FROM q.subsection THEN 0 ELSE 1 END,
+    CASE WHEN coalesce(c.subsection,'') = '' THEN 0 ELSE coalesce(try_cast(c.subsection AS INTEGER), 999) END, doc_id, chunk_seq) AS INTEGER) rk
+  FROM parsed q JOIN c ON q.section = c.section AND c.part IS DISTINCT FROM 'SCHEDULE')"""
+_CITED = r"""cited AS (SELECT DISTINCT doc_id, chunk_seq, s section, nullif(b, '') subsection FROM (SELECT doc_id, chunk_seq,
+  unnest(regexp_extract_all(text, '\bs\.\s*(\d+(?:\.\d+)?)(?:\s*\((\d+)\))?', 1)) s, unnest(regexp_extract_all(text, '\bs\.\s*(\d+(?:\.\d+)?)(?:\s*\((\d+)\))?', 2)) b FROM c))"""
+_AUDIT = rf"""{_CHUNKS}, {_CITED}, audited AS (SELECT q.doc_id, q.chunk_seq, 's. ' || section || CASE WHEN subsection IS NOT NULL THEN '(' || subsection || ')' ELSE '' END label,
+  CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.doc_id = q.doc_id AND c.section = q.section AND (q.subsection IS NULL OR coalesce(c.subsection,'') = q.subsection)) THEN 'grounded'
+    WHEN EXISTS (SELECT 1 FROM c WHERE c.doc_id = q.doc_id AND c.section = q.section) THEN 'unsupported'
+    WHEN EXISTS (SELECT 1 FROM c WHERE c.doc_id = q.doc_id AND regexp_matches(c.text, '\b' || replace(q.section, '.', '\.') || '\b')) THEN 'cross_referenced' ELSE 'unsupported' END status
+  FROM cited q)"""
+_LINES = "l AS (SELECT DISTINCT doc_id, seq, page, block, x0, y0, text FROM lines)"
+_LAYOUT = f"""{_LINES}, a AS (SELECT l.doc_id, seq, page_width w, round_even(x0, 0) x FROM l JOIN documents_meta m ON l.doc_id = m.doc_id WHERE page_width > 0 AND x0 IS NOT NULL),
+  k AS (SELECT doc_id, w, x, count(*) n, min(seq) f FROM a GROUP BY ALL),
+  h AS (SELECT *, row_number() OVER (PARTITION BY doc_id, x < w / 2 ORDER BY n DESC, f) b FROM k),
+  g AS (SELECT doc_id, w, sum(n)::BIGINT n_lines, max(CASE WHEN b = 1 AND x < w / 2 THEN x END) lm, max(CASE WHEN b = 1 AND x >= w / 2 THEN x END) rm FROM h GROUP BY doc_id, w),
+  d AS (SELECT g.doc_id, lm left_margin, rm right_margin, n_lines, CASE WHEN lm IS NULL OR rm IS NULL THEN 'one half is empty'
+    WHEN (SELECT coalesce(sum(n), 0) FROM k WHERE k.doc_id = g.doc_id AND abs(x - lm) <= 2) < 0.15 * n_lines OR (SELECT coalesce(sum(n), 0) FROM k WHERE k.doc_id = g.doc_id AND abs(x - rm) <= 2) < 0.15 * n_lines
+      THEN 'a margin is not a column' WHEN (rm - lm) / w < 0.15 THEN 'the margins are indent levels' ELSE 'ok' END status FROM g),
+  o AS (SELECT l.*, CASE WHEN x0 < (left_margin + right_margin) / 2 THEN 'left' ELSE 'right' END side FROM l JOIN d ON l.doc_id = d.doc_id AND status = 'ok'),
+  ordered AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, side ORDER BY page NULLS FIRST, y0 NULLS FIRST, x0 NULLS FIRST, seq NULLS FIRST) AS INTEGER) place FROM o)"""
+_REPEATED = f"""{_LINES}, pages AS (SELECT doc_id, count(DISTINCT page) doc_pages FROM l GROUP BY doc_id),
+  rep AS (SELECT l.doc_id, text, count(DISTINCT page) n_pages, doc_pages FROM l JOIN pages ON l.doc_id = pages.doc_id GROUP BY l.doc_id, text, doc_pages HAVING count(DISTINCT page) >= 0.3 * doc_pages)"""
 
 
 def oracle_sql() -> dict:
-    return {}
+    labels = lambda s: f"nullif(string_agg(DISTINCT CASE WHEN status = '{s}' THEN label END, ', ' ORDER BY CASE WHEN status = '{s}' THEN label END), '')"
+    fused = "round(sum(1.0::DOUBLE / (60 + rank)), 12)"
+    return {
+        "bm25_topk": f"WITH {_POSTINGS}, {_ranked('case_id', 'eval_cases', 'question', 10, 'r')} SELECT case_id, doc_id, chunk_seq, score, rk FROM r",
+        "token_counts": f"SELECT doc_id, term, count(*) tf FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) term FROM documents) GROUP BY ALL",
+        "doc_lengths": f"SELECT doc_id, coalesce(len({_TOKENS.format('text')}), 0)::BIGINT len FROM documents",
+        "idf_table": f"""WITH t AS (SELECT DISTINCT doc_id, unnest({_TOKENS.format('text')}) term FROM documents), n AS (SELECT count(*) n FROM documents)
+          SELECT term, count(*) df, round(ln(1 + (max(n) - count(*) + 0.5) / (count(*) + 0.5)), 9) idf FROM t CROSS JOIN n GROUP BY term""",
+        "bm25_postings": f"WITH {_POSTINGS} SELECT term, doc_id, chunk_seq, tf, round(impact, 9) impact FROM p",
+        "l2_normalize": f"WITH {_UNIT} SELECT u.vec_id, round(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 9) norm, round(v[1], 9) \"first\", len(v)::INTEGER dims FROM u JOIN embeddings e ON u.vec_id = e.vec_id",
+        "cosine_topk": f"WITH {_NEAR} SELECT query_id, vec_id, score, rk FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) rk FROM s) WHERE rk <= 10",
+        "support_score": f"WITH {_LABELLED} SELECT vec_id query_id, coalesce(support, 0.0::DOUBLE) support FROM embeddings LEFT JOIN (SELECT query_id, max(score) support FROM r GROUP BY query_id) x ON x.query_id = vec_id WHERE vec_id % 100 = 0",
+        "support_distribution": f"""WITH {_LABELLED}, x AS (SELECT query_id, max(score) support FROM r GROUP BY query_id)
+          SELECT label grp, count(*) n, min(support) min_s, list_sort(list(support))[count(*) // 2 + 1] upper_median_s, max(support) max_s FROM x JOIN embeddings ON vec_id = query_id GROUP BY label""",
+        "retrieval_ranks": f"WITH {_RANKS} SELECT case_id, exp_no, CAST(rank AS INTEGER) rank FROM x",
+        "retrieval_eval_rollup": f"""WITH {_RANKS}, m AS (SELECT case_id, category, min(rank) f, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END) c1, avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END) c3,
+            avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END) c5 FROM x GROUP BY ALL)
+          SELECT category, CAST(grouping(category) AS INTEGER) is_total, count(*) n, round(avg(CASE WHEN f <= 1 THEN 1.0 ELSE 0.0 END), 9) hit1, round(avg(CASE WHEN f <= 3 THEN 1.0 ELSE 0.0 END), 9) hit3,
+            round(avg(CASE WHEN f <= 5 THEN 1.0 ELSE 0.0 END), 9) hit5, round(avg(c1), 9) coverage1, round(avg(c3), 9) coverage3, round(avg(c5), 9) coverage5, round(avg(coalesce(1.0::DOUBLE / f, 0)), 9) mrr
+          FROM m GROUP BY ROLLUP (category)""",
+        "rrf_fusion": f"""WITH {_POSTINGS}, {_ranked('case_id', 'eval_cases', 'question', 20, 'r')}, {_ranked('case_id', 'eval_cases', 'passage', 20, 'w')},
+            b AS (SELECT case_id, 0 ranking_no, rk rank, doc_id || '-' || chunk_seq chunk FROM r UNION ALL SELECT case_id, 1, rk, doc_id || '-' || chunk_seq FROM w),
+            f AS (SELECT case_id, chunk, {fused} rrf, min(ranking_no * 1000 + rank) first FROM b GROUP BY ALL)
+          SELECT case_id, chunk, rrf, rk FROM (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY rrf DESC, first, chunk) AS INTEGER) rk FROM f) WHERE rk <= 10""",
+        "parse_citation_query": f"WITH {_PARSE.format('query_embeddings')} SELECT * FROM parsed",
+        "structured_lookup": f"WITH {_CHUNKS}, {_ASKED}, {_PARSE.format('asked')}, {_LOOKUP} SELECT * FROM lookup",
+        "hybrid_retrieve": f"""WITH {_POSTINGS}, {_ASKED}, {_PARSE.format('asked')}, {_LOOKUP}, {_ranked('query_id', 'asked', 'question', 100, 'r')},
+            f AS (SELECT query_id, doc_id || '-' || chunk_seq chunk, row_number() OVER (PARTITION BY query_id ORDER BY round(1.0::DOUBLE / (60 + rk), 12) DESC, rk) place FROM r),
+            b AS (SELECT query_id, doc_id || '-' || chunk_seq chunk, 0 src, rk place FROM lookup UNION ALL SELECT query_id, chunk, 1, place FROM f),
+            o AS (SELECT query_id, chunk, min(src * 1000000000 + place) f FROM b GROUP BY ALL)
+          SELECT query_id, chunk, CASE WHEN f < 1000000000 THEN 'structured' ELSE 'fusion' END source, rk FROM
+            (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f, chunk) AS INTEGER) rk FROM o) WHERE rk <= 10""",
+        "cited_provisions": f"WITH {_CHUNKS}, {_CITED} SELECT * FROM cited",
+        "citation_audit": f"WITH {_AUDIT} SELECT * FROM audited",
+        "answer_warnings": f"""WITH {_AUDIT}, b AS (SELECT doc_id, chunk_seq, {labels('grounded')} grounded, {labels('cross_referenced')} cross_referenced, {labels('unsupported')} unsupported FROM audited GROUP BY doc_id, chunk_seq)
+          SELECT *, 'WARNING: not in the retrieved provisions: ' || unsupported warning, 'Note: mentioned but not retrieved: ' || cross_referenced note FROM b""",
+        "refusal_rate": f"WITH {_CHUNKS} SELECT part, count(*) n, count(*) FILTER (WHERE NOT coalesce(regexp_matches(text, '\\bs\\.\\s*\\d'), false)) declined FROM c GROUP BY part",
+        "context_build": f"""WITH {_POSTINGS}, {_ranked('case_id', 'eval_cases', 'question', 3, 'r')}
+          SELECT case_id, string_agg('[' || citation || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rk) context FROM r JOIN c ON r.doc_id = c.doc_id AND r.chunk_seq = c.chunk_seq GROUP BY case_id""",
+        "hyphen_vocabulary": "SELECT DISTINCT doc_id, unnest(regexp_extract_all(regexp_replace(lower(text), '[À-ÖØ-öø-ʯﬀ-ﬆ]', '_', 'g'), '\\b([a-z]+-[a-z]+)\\b', 1)) term FROM lines",
+        "running_headers": f"WITH {_REPEATED} SELECT doc_id, text, n_pages, doc_pages FROM rep",
+        "header_islands": f"""WITH {_REPEATED}, s AS (SELECT l.*, rep.text IS NOT NULL AND (y0 < 0.15 * page_height OR y0 > 0.85 * page_height) seed,
+            CASE WHEN y0 - lag(y0) OVER (PARTITION BY l.doc_id, page ORDER BY y0 NULLS FIRST, seq) > 20 THEN 1 ELSE 0 END starts
+            FROM l JOIN documents_meta m ON l.doc_id = m.doc_id AND page_height > 0 LEFT JOIN rep ON l.doc_id = rep.doc_id AND l.text = rep.text),
+          i AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id, page ORDER BY y0 NULLS FIRST, seq RANGE UNBOUNDED PRECEDING) island FROM s),
+          j AS (SELECT *, max(CASE WHEN seed THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, island) header FROM i)
+          SELECT doc_id, count(*) n_lines, count(*) FILTER (WHERE header = 1) n_headers FROM j GROUP BY doc_id""",
+        "front_matter": rf"""WITH {_LINES}, p AS (SELECT doc_id, page, count(*) n, count(*) FILTER (WHERE regexp_matches(trim(text), '^\d+(\.\d+)?$')) numbers FROM l GROUP BY doc_id, page),
+          q AS (SELECT *, min(page) OVER (PARTITION BY doc_id) + greatest(1, trunc(0.2 * count(*) OVER (PARTITION BY doc_id))) lim FROM p)
+          SELECT doc_id, max(page) last_page FROM q WHERE page < lim AND numbers >= 0.15 * n GROUP BY doc_id""",
+        "detect_layout": f"WITH {_LAYOUT} SELECT * FROM d",
+        "reading_order": f"WITH {_LAYOUT} SELECT doc_id, seq, side, place FROM ordered",
+        "column_text": f"WITH {_LAYOUT} SELECT doc_id, side, string_agg(text, chr(10) ORDER BY place) text FROM ordered GROUP BY doc_id, side",
+        "chunk_fingerprint": f"""WITH {_CHUNKS}, h AS (SELECT sha256(concat_ws(chr(0), doc_id::VARCHAR, chunk_seq::VARCHAR, coalesce(text, chr(1)))) h FROM c)
+          SELECT sha256('lexvec-a|' || count(*) || '|' || sum(('0x' || h[1:12])::BIGINT)::HUGEINT || '|' || sum(('0x' || h[13:24])::BIGINT)::HUGEINT) fingerprint FROM h""",
+        "missing_questions": "SELECT question FROM query_embeddings q WHERE question IS NOT NULL AND NOT EXISTS (SELECT 1 FROM query_embeddings c WHERE c.model = 'lexvec-a' AND c.embeddings IS NOT NULL AND c.question = q.question)",
+    }
