@@ -20,7 +20,7 @@ def merge_page_breaks(paragraphs: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("doc_id").orderBy("para_seq")
     fits = ~F.lag("text").over(order).rlike(r"[.;:!?]\z") & F.col("text").rlike(r"^\p{Ll}") & ~F.col("text").rlike(T.ITEM) & ~F.col("text").rlike(T.SUBSECTION)
-    step = F.col("page") - F.lag("page").over(order)
+    step = F.coalesce(F.col("page") - F.lag("page").over(order), F.lit(-1))  # a list of steps leaves nulls out
     rows = paragraphs.withColumns({"fits": F.coalesce(fits, F.lit(False)), "step": step})
     # whether a paragraph was joined decides about the next one: one bit of state, folded over runs that fit
     rows = rows.withColumn("run", F.sum(F.when(F.col("fits") & F.col("step").isin(0, 1), 0).otherwise(1)).over(order))
