@@ -120,7 +120,9 @@ def round_and_fill(counts: dict[int, int], fractional: list[tuple[dict[int, int]
 def plan_containers(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Rows (length, first rank, end of ranks, copies per container, number of the first container)."""
     slots, used, first = [], dict.fromkeys(counts, 0), 0
-    for config, n in round_and_fill(counts, configuration_lp(counts, capacity), capacity):
+    # rounding may cost a few containers where few lengths occur; the filling up alone bounds that
+    plans = [round_and_fill(counts, lp, capacity) for lp in (configuration_lp(counts, capacity), [])] if counts else [[]]
+    for config, n in min(plans, key=lambda plan: sum(n for _, n in plan)):
         for s, a in config.items():
             slots.append((s, used[s], used[s] + a * n, a, first))
             used[s] += a * n

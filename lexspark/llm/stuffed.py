@@ -3,7 +3,7 @@
 A page is read in units of about a dozen words within its lines. Each unit gets the share of function words of the page's
 language, the share of its content words that belong to word pairs repeated over the page, its link text ratio, its
 density of separators, and whether its line is numbered or priced like a table of contents or a list of fees. The thresholds on the function word
-share are fractions of the median of all units of the language, which Spark takes over the whole corpus. Units
+share are fractions of the upper quartile of all units of the language, which Spark takes over the whole corpus. Units
 without enough function words form blocks; a block counts as stuffed if enough of its text repeats keywords or links,
 and a page is found if stuffed blocks hold more than half of its characters.
 
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from lexspark.session import written
 
 UNIT_WORDS = 12
-#: Fractions of the median share of function words: below the first a unit may be evidence, below the second it may be in a block.
-STRICT, LOOSE = 0.6, 0.8
+#: The share of function words that three quarters of the units stay below: prose, even where half of the text is stuffed.
+PROSE_QUANTILE = 0.75
+#: Fractions of it: below the first a unit may be evidence, below the second it may be in a block.
+STRICT, LOOSE = 0.55, 0.73
 REPEATED_SHARE, LINK_SHARE, SEPARATORS_A_WORD, BLOCK_EVIDENCE, PAGE_SHARE = 0.5, 0.3, 0.2, 0.4, 0.5
 LONG_PAGE_WORDS = 120  # word pairs count as repeated from 3 times on; on shorter pages from 2 times on
 
@@ -141,12 +143,12 @@ def page_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def calibrate(pages: DataFrame) -> dict[str, float]:
-    """The median share of function words over all units of each language (one row per language)."""
+    """The upper quartile of the share of function words over all units of each language (one row per language)."""
     units = pages.select("lang", F.explode("share").alias("share"))
-    return {r["lang"]: r["median"] for r in units.groupBy("lang").agg(F.percentile_approx("share", 0.5, 1000).alias("median")).collect()}
+    return {r["lang"]: r["q"] for r in units.groupBy("lang").agg(F.percentile_approx("share", PROSE_QUANTILE, 1000).alias("q")).collect()}
 
 
-def score_pages(pages: DataFrame, medians: dict[str, float]) -> DataFrame:
+def score_pages(pages: DataFrame, usual: dict[str, float]) -> DataFrame:
     """(doc_id, lang, stuffed): the share of stuffed text of every page."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,7 +156,7 @@ def score_pages(pages: DataFrame, medians: dict[str, float]) -> DataFrame:
             columns = (pdf[c] for c in ("lang", "sizes", "share", "repeated", "links"))
             out = pdf[["doc_id", "lang"]].copy()
             out["stuffed"] = [
-                stuffed_share(n.tolist(), f.tolist(), r.tolist(), k.tolist(), STRICT * medians[lang], LOOSE * medians[lang])
+                stuffed_share(n.tolist(), f.tolist(), r.tolist(), k.tolist(), STRICT * usual.get(lang, 0.0), LOOSE * usual.get(lang, 0.0))
                 for lang, n, f, r, k in zip(*columns, strict=True)
             ]
             yield out
