@@ -30,6 +30,7 @@ PROSE_QUANTILE = 0.75
 #: Fractions of it: below the first a unit may be evidence, below the second it may be in a block.
 STRICT, LOOSE = 0.55, 0.73
 REPEATED_SHARE, LINK_SHARE, SEPARATORS_A_WORD, BLOCK_EVIDENCE, PAGE_SHARE = 0.5, 0.3, 0.2, 0.4, 0.5
+PROSE_SHARE = 0.4  # a unit with so many function words is prose in any language, its word pairs are no keywords
 LONG_PAGE_WORDS = 120  # word pairs count as repeated from 3 times on; on shorter pages from 2 times on
 
 # Function words by language, and those that may stand inside a keyword.
@@ -46,23 +47,23 @@ FUNCTION_WORDS = {
 INSIDE_KEYWORDS = frozenset("de d du en à la l of".split())
 
 _LINK = re.compile(r"https?://\S+|www\.\S+|\[[^\]]*\]\([^)]*\)|#[\w-]+|<a\s[^>]*>.*?</a>|</?\w[^>]*>")
+_LINKED = re.compile(r"[/\[#<]|www\.")
 _WORD = re.compile(r"[^\W\d_]+")
 _SEPARATOR = re.compile(r">>|[|·•;]|\s/\s|\s»\s|,(?=\s)")
 _LISTED = re.compile(r"^\s*(?:\d+[.)]?|[•*-]?\s*item\s+\d+\s*:)\s|[\s.]\d+\s*$", re.IGNORECASE)
-_RUN = re.compile(r"\S+")
 
 
 def page_units(text: str) -> list[tuple[str, bool]]:
     """(unit, stands in a numbered or priced line), about UNIT_WORDS words each, never over the end of a line."""
     out = []
     for line in text.split("\n"):
-        runs = [m.span() for m in _RUN.finditer(line)]
+        runs = line.split()
         listed, i = bool(runs) and bool(_LISTED.search(line)), 0
         while i < len(runs):
-            j = min(len(runs), i + UNIT_WORDS)
+            j = i + UNIT_WORDS
             if len(runs) - j < UNIT_WORDS // 2:
                 j = len(runs)
-            out.append((line[runs[i][0] : runs[j - 1][1]], listed))
+            out.append((" ".join(runs[i:j]), listed))
             i = j
     return out
 
@@ -75,38 +76,39 @@ def page_features(text: str | None) -> tuple[str, list[int], list[float], list[f
     counts = Counter(w for s in words for w in s)
     lang = max(FUNCTION_WORDS, key=lambda k: sum(counts[w] for w in FUNCTION_WORDS[k]))
     function = FUNCTION_WORDS[lang]
-    pairs: Counter = Counter()
-    placed, content = [], []
-    for s in words:
-        here, last, n = [], -1, 0
-        for i, w in enumerate(s):
-            if w in function:
-                if w not in INSIDE_KEYWORDS:
-                    last = -1
-                continue
-            n += 1
-            if last >= 0 and i - last <= 2:
-                pair = (s[last], w)
-                here.append((pair, last, i))
-                pairs[pair] += 1
-            last = i
-        placed.append(here)
-        content.append(n)
+    share = [sum([w in function for w in s]) / len(s) if s else 0.0 for s in words]
+    placed = [[] if f >= PROSE_SHARE else _pairs(s, function) for f, s in zip(share, words, strict=True)]
+    pairs = Counter(p[0] for here in placed for p in here)
     often = 3 if sum(counts.values()) >= LONG_PAGE_WORDS else 2
-    sizes, share, repeated, links = [], [], [], []
-    for (u, listed), s, here, n in zip(units, words, placed, content, strict=True):
-        sizes.append(len(u))
-        share.append((len(s) - n) / len(s) if s else 0.0)
-        covered = set()
-        if not listed:
-            for pair, a, b in here:
-                if pairs[pair] >= often:
-                    covered.add(a)
-                    covered.add(b)
-        separated = not listed and len(_SEPARATOR.findall(u)) >= SEPARATORS_A_WORD * len(s) > 0
-        repeated.append(1.0 if separated else len(covered) / n if n else 0.0)
-        links.append(sum(m.end() - m.start() for m in _LINK.finditer(u)) / len(u))
-    return lang, sizes, share, repeated, links
+    repeated = [
+        _repeated(u, listed, s, f, here, pairs, often) if f < PROSE_SHARE else 0.0 for (u, listed), s, f, here in zip(units, words, share, placed, strict=True)
+    ]
+    links = [sum(m.end() - m.start() for m in _LINK.finditer(u)) / len(u) if _LINKED.search(u) else 0.0 for u, _ in units]
+    return lang, [len(u) for u, _ in units], share, repeated, links
+
+
+def _pairs(words: list[str], function: frozenset[str]) -> list[tuple[tuple[str, str], int, int]]:
+    """Neighbouring content words with their places; one word that may stand inside a keyword doesn't part them."""
+    out, last = [], -1
+    for i, w in enumerate(words):
+        if w in function:
+            if w not in INSIDE_KEYWORDS:
+                last = -1
+            continue
+        if last >= 0 and i - last <= 2:
+            out.append(((words[last], w), last, i))
+        last = i
+    return out
+
+
+def _repeated(unit: str, listed: bool, words: list[str], share: float, here: list, pairs: Counter, often: int) -> float:
+    if listed or not words:
+        return 0.0
+    if len(_SEPARATOR.findall(unit)) >= SEPARATORS_A_WORD * len(words):
+        return 1.0
+    covered = {i for pair, a, b in here if pairs[pair] >= often for i in (a, b)}
+    content = round(len(words) * (1 - share))
+    return len(covered) / content if content else 0.0
 
 
 def stuffed_share(sizes, share, repeated, links, strict: float, loose: float) -> float:
