@@ -60,5 +60,36 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
+_SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _invariant_sql() -> str:
+    """``repeats.invariant_text`` in SQL; RE2 has no lookahead, so what follows is captured and put back."""
+    sp, word = _SPACE, r"\p{L}[\p{L}.''’-]*"
+    steps = [
+        (rf"\d+(?:(?:[.,:/]|{sp})*\d+)*(?:st|nd|rd|th|er)?\b", "0"),
+        (rf"(?:0(?:,|{sp})*)?\b(?:{'|'.join(repeats.MONTHS)})\b(?:[,.]|{sp})*0(?:(?:,|{sp})*0)*", "0"),
+        (rf"\b(by|par){sp}+{word}(?:{sp}+{word}){{0,2}}({sp}*(?:$|[,;|·–—(]))", r"\1 N\2"),
+        (rf"^[^\p{{L}}0]*{word}(?:{sp}+{word}){{1,2}}{sp}*([|·,–—]{sp}*0)", r"N \1"),
+        (r"[^\p{L}\p{N}]+", ""),
+    ]
+    out = "lower(text)"
+    for pattern, to in steps:
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    return out
+
+
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "p1_found": f"""WITH pages AS (SELECT DISTINCT doc_id, source FROM documents_meta WHERE medium = 'web' AND source IS NOT NULL),
+          size AS (SELECT source, count(DISTINCT doc_id) docs FROM pages GROUP BY source),
+          l AS (SELECT DISTINCT l.doc_id, seq, p.source, {_invariant_sql()} k FROM lines l JOIN pages p ON l.doc_id = p.doc_id),
+          n AS (SELECT source, k, count(DISTINCT doc_id) n FROM l WHERE k <> '' GROUP BY source, k)
+          SELECT DISTINCT doc_id, seq FROM l JOIN n ON l.source = n.source AND l.k = n.k JOIN size ON size.source = l.source WHERE n >= 3 AND n >= 0.25 * docs""",
+        "p2_found": """WITH v AS (SELECT query_id id, model, embeddings::DOUBLE[] v FROM query_embeddings WHERE query_id IS NOT NULL AND len(embeddings) = 128
+            AND len(list_filter(embeddings, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embeddings, lambda x: x <> 0)) > 0),
+          u AS (SELECT id, model, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) v FROM v),
+          c AS (SELECT a.id, b.id other, round(list_inner_product(a.v, b.v), 6) cosine FROM u a JOIN u b ON a.model IS NOT DISTINCT FROM b.model AND a.id <> b.id),
+          r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, other) k FROM c)
+          SELECT DISTINCT least(id, other) query_id_a, greatest(id, other) query_id_b FROM r WHERE k <= 10""",
+    }
