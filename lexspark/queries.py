@@ -138,6 +138,31 @@ def hybrid_retrieve(spark, sf_dir):
     return fusion.hybrid(first.select("query_id", "chunk", "rk"), fused.select("query_id", "chunk", "rk"), "query_id", "chunk", 10)
 
 
+def ablation_compare(spark, sf_dir):
+    """Keyword retrieval against the hybrid, over the questions that name a section: a chunk of that section is a hit."""
+    chunks, questions = _chunks(spark, sf_dir), _questions(spark, sf_dir)
+    named = fusion.parse_citation_queries(questions, "query_id").select(F.col("query_id").alias("case_id"), F.col("section").alias("citation"))
+    cases = named.select("case_id", F.lit("named").alias("category"))
+    expected = named.select("case_id", F.lit(0).alias("exp_no"), "citation", F.lit(None).cast("string").alias("term"))
+    keyword = _keyed(bm25.search(questions, bm25.build_postings(chunks, CHUNK_KEYS, "indexed"), "query_id", CHUNK_KEYS, 5)).select("query_id", "chunk", "rk")
+    sections = _keyed(chunks).select("chunk", F.col("section").alias("citation"), F.lit(None).cast("string").alias("heading"))
+    out = None
+    for name, ranking in (("bm25", keyword), ("hybrid", hybrid_retrieve(spark, sf_dir))):
+        got = ranking.withColumnRenamed("query_id", "case_id").join(sections, "chunk")
+        one = evaluation.summarise(evaluation.case_metrics(cases, evaluation.expectation_ranks(expected, got))).filter("is_total = 1")
+        one = one.select(F.lit(name).alias("retriever"), "n", "hit1", "hit3", "hit5", "mrr")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def retrieval_misses(spark, sf_dir):
+    """The cases whose own label is not among the five nearest, with what they got instead."""
+    cases, expected = _cases(spark, sf_dir)
+    near = _labelled(spark, sf_dir, 5).withColumn("text", F.col("vec_id").cast("string"))
+    own = evaluation.case_metrics(cases, evaluation.expectation_ranks(expected.filter("exp_no = 0"), near))
+    return evaluation.misses(own, near)
+
+
 def cited_provisions(spark, sf_dir):
     return grounding.extract_citations(_chunks(spark, sf_dir), CHUNK_KEYS)
 
@@ -240,7 +265,7 @@ def missing_questions(spark, sf_dir):
 
 def queries() -> dict:
     names = """bm25_topk token_counts doc_lengths idf_table bm25_postings l2_normalize cosine_topk support_score support_distribution
-    retrieval_eval_rollup retrieval_ranks rrf_fusion parse_citation_query structured_lookup hybrid_retrieve cited_provisions citation_audit
+    retrieval_eval_rollup retrieval_ranks rrf_fusion parse_citation_query structured_lookup hybrid_retrieve ablation_compare retrieval_misses cited_provisions citation_audit
     answer_warnings refusal_rate context_build hyphen_vocabulary running_headers header_islands front_matter paragraphs_from_lines detect_layout
     reading_order column_text merge_page_breaks classify_paragraphs chunk_sections split_items chunk_fingerprint missing_questions""".split()
     return {n: globals()[n] for n in names}
@@ -281,6 +306,11 @@ _LOOKUP = """lookup AS (SELECT query_id, doc_id, chunk_seq, CAST(row_number() OV
     CASE WHEN q.subsection IS NULL OR c.subsection IS NOT DISTINCT FROM q.subsection THEN 0 ELSE 1 END,
     CASE WHEN coalesce(c.subsection,'') = '' THEN 0 ELSE coalesce(try_cast(c.subsection AS INTEGER), 999) END, doc_id, chunk_seq) AS INTEGER) rk
   FROM parsed q JOIN c ON q.section = c.section AND c.part IS DISTINCT FROM 'SCHEDULE')"""
+_HYBRID = f"""{_POSTINGS}, {_ASKED}, {_PARSE.format('asked')}, {_LOOKUP}, {_ranked('query_id', 'asked', 'question', 100, 'r')},
+  fused AS (SELECT query_id, doc_id || '-' || chunk_seq chunk, row_number() OVER (PARTITION BY query_id ORDER BY round(1.0::DOUBLE / (60 + rk), 12) DESC, rk) place FROM r),
+  both_lists AS (SELECT query_id, doc_id || '-' || chunk_seq chunk, 0 src, rk place FROM lookup UNION ALL SELECT query_id, chunk, 1, place FROM fused),
+  firsts AS (SELECT query_id, chunk, min(src * 1000000000 + place) f FROM both_lists GROUP BY ALL),
+  hybrid AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f, chunk) AS INTEGER) rk FROM firsts)"""
 _CITED = r"""cited AS (SELECT DISTINCT doc_id, chunk_seq, s section, nullif(b, '') subsection FROM (SELECT doc_id, chunk_seq,
   unnest(regexp_extract_all(text, '\bs\.\s*(\d+(?:\.\d+)?)(?:\s*\((\d+)\))?', 1)) s, unnest(regexp_extract_all(text, '\bs\.\s*(\d+(?:\.\d+)?)(?:\s*\((\d+)\))?', 2)) b FROM c))"""
 _AUDIT = rf"""{_CHUNKS}, {_CITED}, audited AS (SELECT q.doc_id, q.chunk_seq, 's. ' || section || CASE WHEN subsection IS NOT NULL THEN '(' || subsection || ')' ELSE '' END label,
@@ -329,12 +359,14 @@ def oracle_sql() -> dict:
           SELECT case_id, chunk, rrf, rk FROM (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY rrf DESC, first, chunk) AS INTEGER) rk FROM f) WHERE rk <= 10""",
         "parse_citation_query": f"WITH {_PARSE.format('query_embeddings')} SELECT * FROM parsed",
         "structured_lookup": f"WITH {_CHUNKS}, {_ASKED}, {_PARSE.format('asked')}, {_LOOKUP} SELECT * FROM lookup",
-        "hybrid_retrieve": f"""WITH {_POSTINGS}, {_ASKED}, {_PARSE.format('asked')}, {_LOOKUP}, {_ranked('query_id', 'asked', 'question', 100, 'r')},
-            f AS (SELECT query_id, doc_id || '-' || chunk_seq chunk, row_number() OVER (PARTITION BY query_id ORDER BY round(1.0::DOUBLE / (60 + rk), 12) DESC, rk) place FROM r),
-            b AS (SELECT query_id, doc_id || '-' || chunk_seq chunk, 0 src, rk place FROM lookup UNION ALL SELECT query_id, chunk, 1, place FROM f),
-            o AS (SELECT query_id, chunk, min(src * 1000000000 + place) f FROM b GROUP BY ALL)
-          SELECT query_id, chunk, CASE WHEN f < 1000000000 THEN 'structured' ELSE 'fusion' END source, rk FROM
-            (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f, chunk) AS INTEGER) rk FROM o) WHERE rk <= 10""",
+        "hybrid_retrieve": f"""WITH {_HYBRID} SELECT query_id, chunk, CASE WHEN f < 1000000000 THEN 'structured' ELSE 'fusion' END source, rk FROM hybrid WHERE rk <= 10""",
+        "ablation_compare": f"""WITH {_HYBRID}, got AS (SELECT 'bm25' retriever, query_id, doc_id || '-' || chunk_seq chunk, rk FROM r WHERE rk <= 5 UNION ALL SELECT 'hybrid', query_id, chunk, rk FROM hybrid WHERE rk <= 10),
+            f AS (SELECT names.retriever, parsed.query_id, min(got.rk) FILTER (WHERE c.section = parsed.section) f FROM (VALUES ('bm25'), ('hybrid')) names(retriever) CROSS JOIN parsed
+              LEFT JOIN got ON got.retriever = names.retriever AND got.query_id = parsed.query_id LEFT JOIN c ON c.doc_id || '-' || c.chunk_seq = got.chunk GROUP BY ALL)
+          SELECT retriever, count(*) n, round(avg(CASE WHEN f <= 1 THEN 1.0 ELSE 0.0 END), 9) hit1, round(avg(CASE WHEN f <= 3 THEN 1.0 ELSE 0.0 END), 9) hit3,
+            round(avg(CASE WHEN f <= 5 THEN 1.0 ELSE 0.0 END), 9) hit5, round(avg(coalesce(1.0::DOUBLE / f, 0)), 9) mrr FROM f GROUP BY retriever""",
+        "retrieval_misses": f"""WITH {_LABELLED}, m AS (SELECT vec_id case_id FROM embeddings e WHERE vec_id % 100 = 0 AND NOT EXISTS (SELECT 1 FROM r WHERE r.query_id = e.vec_id AND r.label = e.label))
+          SELECT case_id, CAST(rk AS INTEGER) rk, 'L' || label citation, vec_id::VARCHAR "label" FROM m LEFT JOIN r ON r.query_id = m.case_id AND rk <= 3""",
         "cited_provisions": f"WITH {_CHUNKS}, {_CITED} SELECT * FROM cited",
         "citation_audit": f"WITH {_AUDIT} SELECT * FROM audited",
         "answer_warnings": f"""WITH {_AUDIT}, b AS (SELECT doc_id, chunk_seq, {labels('grounded')} grounded, {labels('cross_referenced')} cross_referenced, {labels('unsupported')} unsupported FROM audited GROUP BY doc_id, chunk_seq)
