@@ -63,3 +63,17 @@ def checked_join(big: DataFrame, small: DataFrame, on, how: str = "inner", rows:
     """
     n = small.count() if rows is None else rows
     return big.join(F.broadcast(small) if n <= limit else small.hint("merge"), on, how)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose few files would leave cores idle, over as many partitions as there are cores; larger ones as they are.
+
+    For scans only: the partitions of a plan with shuffles are known when it runs.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def partitions(spark: SparkSession) -> int:
+    """Partitions for Python work after a shuffle, where merging small ones would leave cores idle."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
