@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexspark.llm.batches import map_rows
-from lexspark.session import written
+from lexspark.session import partitions, spread, written
 
 CONCEPTS, STRONGEST, SPAN = 256, 32, 3
 #: A term counts by its concepts from this share of the sentences on; at most 4000 terms per term of a sentence do.
@@ -201,8 +201,8 @@ def align_sentences(documents: DataFrame, id_col: str = "doc_id", left: str = "l
     """(doc_id, left_no, right_no, cosine) of the sentences that translate each other, positions from 0."""
     pairs = written(paired_words(documents, id_col, left, right), "paired-words")
     model = learn_terms(pairs)
-    near = products(sentence_vectors(pairs, model)).groupBy("doc_id").agg(F.collect_list(F.struct("i", "j")).alias("near"))
-    rows = pairs.join(near, "doc_id").select("doc_id", "flipped", "a", "b", "near")
+    near = products(sentence_vectors(spread(pairs), model)).groupBy("doc_id").agg(F.collect_list(F.struct("i", "j")).alias("near"))
+    rows = pairs.join(near, "doc_id").select("doc_id", "flipped", "a", "b", "near").repartition(partitions(pairs.sparkSession), "doc_id")
 
     def choose(batch: list[dict]) -> list[dict]:
         out = []
