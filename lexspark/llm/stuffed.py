@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.session import written
+from lexspark.session import spread, written
 
 UNIT_WORDS = 12
 #: The share of function words that three quarters of the units stay below: prose, even where half of the text is stuffed.
@@ -131,7 +131,7 @@ def stuffed_share(sizes, share, repeated, links, strict: float, loose: float) ->
 
 def page_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang, sizes, share, repeated, links) of every page with text, written once."""
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
+    docs = spread(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.length("text") > 0))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
