@@ -117,12 +117,21 @@ def round_and_fill(counts: dict[int, int], fractional: list[tuple[dict[int, int]
     return out
 
 
+def tightest_plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """The rounded linear program, or filling up alone where rounding costs a few containers more and space is left."""
+    if not counts:
+        return []
+    used = lambda plan: sum(n for _, n in plan)
+    plan = round_and_fill(counts, configuration_lp(counts, capacity), capacity)
+    if used(plan) <= math.ceil(sum(s * n for s, n in counts.items()) / capacity):
+        return plan  # no plan has fewer
+    return min(plan, round_and_fill(counts, [], capacity), key=used)
+
+
 def plan_containers(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Rows (length, first rank, end of ranks, copies per container, number of the first container)."""
     slots, used, first = [], dict.fromkeys(counts, 0), 0
-    # rounding may cost a few containers where few lengths occur; the filling up alone bounds that
-    plans = [round_and_fill(counts, lp, capacity) for lp in (configuration_lp(counts, capacity), [])] if counts else [[]]
-    for config, n in min(plans, key=lambda plan: sum(n for _, n in plan)):
+    for config, n in tightest_plan(counts, capacity):
         for s, a in config.items():
             slots.append((s, used[s], used[s] + a * n, a, first))
             used[s] += a * n
