@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_CONCENTRATION, TOLERANCE, MIN_SEPARATION = 0.15, 2.0, 0.15
+#: Statuses of documents that can't be measured at all.
+UNMEASURED = ("no page size", "no positions")
 
 
 def threshold(left: Column, right: Column) -> Column:
@@ -16,13 +18,15 @@ def detect_layout(lines: DataFrame, pages: DataFrame, concentration: float = MIN
     """(doc_id, left_margin, right_margin, n_lines, status): the commonest rounded x0 of each half of the page.
 
     ``pages`` has (doc_id, page_width). Among equally common positions the one that comes first in the document wins.
-    ``status`` is ``ok`` or says why the document has no two columns, so that one document fails no batch.
+    ``status`` is ``ok`` or says why the document has no two columns, so that one document fails no batch; every document
+    of ``lines`` has a row.
     """
-    at = lines.filter(F.col("x0").isNotNull()).join(pages.select("doc_id", "page_width").filter("page_width > 0"), "doc_id").select("doc_id", "seq", "page_width", F.bround("x0").alias("x"))
+    at = lines.join(pages.select("doc_id", "page_width").filter("page_width > 0"), "doc_id", "left").select("doc_id", "seq", "page_width", F.bround("x0").alias("x"))
     counts = at.groupBy("doc_id", "page_width", "x").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    half = F.when(F.col("x") < F.col("page_width") / 2, "left").otherwise("right")
+    middle = F.col("page_width") / 2
+    half = F.when(F.col("x") < middle, "left").when(F.col("x") >= middle, "right")
     margins = counts.groupBy("doc_id", "page_width").agg(
-        F.sum("n").alias("n_lines"), best_of("left", half).alias("left_margin"), best_of("right", half).alias("right_margin"),
+        F.sum(F.when(F.col("x").isNotNull(), F.col("n")).otherwise(0)).alias("n_lines"), best_of("left", half).alias("left_margin"), best_of("right", half).alias("right_margin"),
         F.collect_list(F.struct("x", "n")).alias("positions"),  # rounded positions: at most the page width
     )
     near = lambda m: F.aggregate(
@@ -30,7 +34,9 @@ def detect_layout(lines: DataFrame, pages: DataFrame, concentration: float = MIN
     )
     least = concentration * F.col("n_lines")
     status = (
-        F.when(F.col("left_margin").isNull() | F.col("right_margin").isNull(), "one half is empty")
+        F.when(F.col("page_width").isNull(), "no page size")
+        .when(F.col("n_lines") == 0, "no positions")
+        .when(F.col("left_margin").isNull() | F.col("right_margin").isNull(), "one half is empty")
         .when((near("left_margin") < least) | (near("right_margin") < least), "a margin is not a column")
         .when((F.col("right_margin") - F.col("left_margin")) / F.col("page_width") < separation, "the margins are indent levels")
         .otherwise("ok")

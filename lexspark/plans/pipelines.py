@@ -10,16 +10,35 @@ from pyspark.sql import functions as F
 from lexspark import providers
 from lexspark.functions import text as T
 from lexspark.operators import bm25, chunking, cleanup, evaluation, fusion, grounding, layout, vector
+from lexspark.session import written
+
+
+def column_paragraphs(lines: DataFrame, pages: DataFrame, side: str = "left") -> tuple[DataFrame, DataFrame]:
+    """Paragraphs of one column of two-column documents, and (doc_id, status) of every document of ``lines``."""
+    found = written(layout.detect_layout(lines, pages), "layout")
+    sided = layout.assign_columns(lines, found).filter(F.col("side") == side)
+    paragraphs = written(cleanup.to_paragraphs(sided, pages), "column-paragraphs")
+    own = paragraphs.groupBy("doc_id").agg(F.first("status").alias("own"))
+    status = F.when(F.col("status") != "ok", F.col("status")).otherwise(F.coalesce("own", F.lit(cleanup.NOTHING_LEFT)))
+    return paragraphs.drop("status"), found.join(own, "doc_id", "left").select("doc_id", status.alias("status"))
+
+
+def with_status(rows: DataFrame, status: DataFrame) -> DataFrame:
+    """``rows`` with the status of their documents; a document without rows has one of nulls, so that none is lost silently."""
+    marked = status.join(rows.withColumn("has_row", F.lit(True)), "doc_id", "left")
+    lost = F.col("has_row").isNull() & (F.col("status") == "ok")
+    return marked.select(*rows.columns, F.when(lost, cleanup.NOTHING_LEFT).otherwise(F.col("status")).alias("status"))
 
 
 def build_chunks(lines: DataFrame, pages: DataFrame, side: str = "left") -> DataFrame:
-    """Citable chunks of one column of two-column documents."""
-    sided = layout.assign_columns(lines, layout.detect_layout(lines, pages)).filter(F.col("side") == side)
-    return chunking.chunk_paragraphs(cleanup.to_paragraphs(sided, pages))
+    """Citable chunks of one column of two-column documents, with ``status``; the row of a document without chunks has none."""
+    paragraphs, status = column_paragraphs(lines, pages, side)
+    return with_status(chunking.chunk_paragraphs(paragraphs), status)
 
 
 def with_text(chunks: DataFrame) -> DataFrame:
     """Chunks with their value key, citation and the text that the keyword index sees; equal chunks are one."""
+    chunks = chunks.filter("chunk_seq IS NOT NULL") if "status" in chunks.columns else chunks  # rows that only hold a status
     c = [F.col(x) for x in ("section", "subsection", "part")]
     values = ["text", "section", "subsection", "heading", "part", "pages"]
     rows = chunks.withColumn("chunk_key", T.value_key(*values)).dropDuplicates(["chunk_key"])

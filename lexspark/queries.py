@@ -204,8 +204,9 @@ def running_headers(spark, sf_dir):
 
 
 def header_islands(spark, sf_dir):
+    """Of documents with a page size, as in its SQL."""
     marked = cleanup.mark_headers(_lines(spark, sf_dir), table(spark, sf_dir, "documents_meta"))
-    return marked.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("is_header").alias("n_headers"))
+    return marked.filter("is_header IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("is_header").alias("n_headers"))
 
 
 def front_matter(spark, sf_dir):
@@ -217,7 +218,9 @@ def paragraphs_from_lines(spark, sf_dir):
 
 
 def detect_layout(spark, sf_dir):
-    return layout.detect_layout(_lines(spark, sf_dir), table(spark, sf_dir, "documents_meta"))
+    """The documents that can be measured, as in its SQL; the operator has a row for the others as well."""
+    found = layout.detect_layout(_lines(spark, sf_dir), table(spark, sf_dir, "documents_meta"))
+    return found.filter(~F.col("status").isin(*layout.UNMEASURED))
 
 
 def _sided(spark, sf_dir):
@@ -242,8 +245,9 @@ def _paragraphs(spark, sf_dir):
 
 
 def classify_paragraphs(spark, sf_dir):
-    sided = _sided(spark, sf_dir).filter("side = 'left'")
-    return chunking.classify(cleanup.to_paragraphs(sided, table(spark, sf_dir, "documents_meta"))).select("doc_id", "para_seq", "kind", "section", "subsection", "heading", "part")
+    paragraphs, status = pipelines.column_paragraphs(_lines(spark, sf_dir), table(spark, sf_dir, "documents_meta"))
+    kinds = chunking.classify(paragraphs).select("doc_id", "para_seq", "kind", "section", "subsection", "heading", "part")
+    return pipelines.with_status(kinds, status)
 
 
 def chunk_sections(spark, sf_dir):

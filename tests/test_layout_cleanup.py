@@ -1,4 +1,5 @@
 from lexspark.operators import cleanup, layout
+from lexspark.plans import pipelines
 
 LINE = "doc_id long, seq long, page int, block int, x0 double, y0 double, text string"
 PAGE = "doc_id long, page_width double, page_height double"
@@ -102,3 +103,27 @@ def test_paragraphs_repair_words_and_empty_input(spark):
     got = [r["text"] for r in cleanup.to_paragraphs(spark.createDataFrame(rows, LINE), pages).collect()]
     assert "the corporation" in got and not any("STATUTE" in t for t in got)
     assert cleanup.to_paragraphs(spark.createDataFrame([], LINE), pages).count() == 0
+
+
+def test_bad_documents_keep_every_line_and_have_a_status(spark):
+    good = [r for n in range(10) for r in page(n)]
+    deep = [(2, n * 100 + i, n, i, 48.0, 45.0 + 10 * i, f"deep {i}" if n else f"other {i}") for n in range(10) for i in range(9)]  # a margin block of 9 lines
+    unsized = [r for n in range(10) for r in page(n, doc=3)] + [r for n in range(10) for r in page(n, doc=4)]  # null, and not in the table
+    bare = [r for n in range(10) for r in page(n, doc=5, body=0)]  # headers and nothing else
+    rows = spark.createDataFrame(good + deep + unsized + bare, LINE)
+    pages = spark.createDataFrame([(1, 612.0, 792.0), (2, 612.0, 792.0), (3, None, None), (5, 612.0, 792.0)], PAGE)
+    got = cleanup.to_paragraphs(rows, pages).collect()
+    want = {1: ("ok", 30), 2: (cleanup.INTO_BODY, 90), 3: (cleanup.NO_PAGE_SIZE, 60), 4: (cleanup.NO_PAGE_SIZE, 60), 5: (cleanup.NOTHING_LEFT, 30)}
+    assert {d: ({r["status"] for r in got if r["doc_id"] == d}, sum(r["doc_id"] == d for r in got)) for d in want} == {d: ({s}, n) for d, (s, n) in want.items()}
+    kept = cleanup.strip_headers(cleanup.mark_headers(rows, pages)).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in kept if r["doc_id"] < 5} == {d: n for d, (_, n) in want.items() if d < 5}
+    assert {r["doc_id"]: r["status"] for r in layout.detect_layout(rows, pages).collect()} == dict.fromkeys((1, 2, 5), "one half is empty") | dict.fromkeys((3, 4), "no page size")
+
+
+def test_no_document_is_lost_on_the_way_to_chunks(spark):
+    two = [(1, i, 0, i, 48.0 if i % 2 else 318.0, 300.0 + i, f"{i} A company must keep records.") for i in range(40)]
+    rows = spark.createDataFrame(two + [r for n in range(3) for r in page(n, doc=2)] + [r for n in range(3) for r in page(n, doc=3)], LINE)
+    pages = spark.createDataFrame([(1, 612.0, 792.0), (2, 612.0, 792.0), (3, None, 792.0)], PAGE)
+    got = {r["doc_id"]: (r["status"], r["chunk_seq"] is not None) for r in pipelines.build_chunks(rows, pages).collect()}
+    assert got == {1: ("ok", True), 2: ("one half is empty", False), 3: ("no page size", False)}
+    assert pipelines.with_text(pipelines.build_chunks(rows, pages)).filter("text IS NULL").count() == 0
