@@ -1,8 +1,9 @@
 """Problem 8: pages of stuffed keywords, link lists or product tags.
 
 A page is read in units of about a dozen words within its lines. Each unit gets the share of function words of the page's
-language, the share of its content words that belong to word pairs repeated over the page, its link text ratio, its
-density of separators, and whether its line is numbered or priced like a table of contents or a list of fees. The thresholds on the function word
+language, the share of its content words that are top words of the page or belong to word pairs repeated over it, its
+link text ratio, its density of separators, whether its line is repeated on the page, and whether it is a short line
+numbered or priced like its neighbours, as in a table of contents or a list of fees. The thresholds on the function word
 share are fractions of the upper quartile of all units of the language, which Spark takes over the whole corpus. Units
 without enough function words form blocks; a block counts as stuffed if enough of its text repeats keywords or links,
 and a page is found if stuffed blocks hold more than half of its characters.
@@ -31,6 +32,7 @@ PROSE_QUANTILE = 0.75
 STRICT, LOOSE = 0.55, 0.73
 REPEATED_SHARE, LINK_SHARE, SEPARATORS_A_WORD, BLOCK_EVIDENCE, PAGE_SHARE = 0.5, 0.3, 0.2, 0.4, 0.5
 PROSE_SHARE = 0.4  # a unit with so many function words is prose in any language, its word pairs are no keywords
+TOP_WORD_SHARE, TOP_WORD_TIMES = 0.02, 3  # of the page's content words outside prose
 LONG_PAGE_WORDS = 120  # word pairs count as repeated from 3 times on; on shorter pages from 2 times on
 
 # Function words by language, and those that may stand inside a keyword.
@@ -50,29 +52,36 @@ _LINK = re.compile(r"https?://\S+|www\.\S+|\[[^\]]*\]\([^)]*\)|#[\w-]+|<a\s[^>]*
 _LINKED = re.compile(r"[/\[#<]|www\.")
 _WORD = re.compile(r"[^\W\d_]+")
 _SEPARATOR = re.compile(r">>|[|·•;]|\s/\s|\s»\s|,(?=\s)")
-_LISTED = re.compile(r"^\s*(?:\d+[.)]?|[•*-]?\s*item\s+\d+\s*:)\s|[\s.]\d+\s*$", re.IGNORECASE)
+_LISTED = tuple(re.compile(p, re.IGNORECASE) for p in (r"^\s*\d+[.)]?\s", r"^\s*[•*-]?\s*item\s+\d+\s*:\s", r"[\s.]\d+\s*$"))
 
 
-def page_units(text: str) -> list[tuple[str, bool]]:
-    """(unit, stands in a numbered or priced line), about UNIT_WORDS words each, never over the end of a line."""
+def page_units(text: str) -> list[tuple[str, bool, int]]:
+    """(unit, stands in a listed line, lines that read like its line), about UNIT_WORDS words each, never over the end of a line.
+
+    A line is listed if it is no longer than one unit and a line next to it is numbered or priced in the same way.
+    """
+    lines = [runs for line in text.split("\n") if (runs := line.split())]
+    joined = [" ".join(runs) for runs in lines]
+    times = Counter(x.lower() for x in joined)
+    forms = [{k for k, p in enumerate(_LISTED) if p.search(x)} for x in joined]
     out = []
-    for line in text.split("\n"):
-        runs = line.split()
-        listed, i = bool(runs) and bool(_LISTED.search(line)), 0
+    for n, (runs, line) in enumerate(zip(lines, joined, strict=True)):
+        alike = forms[n] and any(forms[n] & forms[m] for m in (n - 1, n + 1) if 0 <= m < len(lines))
+        listed, i = bool(alike) and len(runs) < UNIT_WORDS + UNIT_WORDS // 2, 0
         while i < len(runs):
             j = i + UNIT_WORDS
             if len(runs) - j < UNIT_WORDS // 2:
                 j = len(runs)
-            out.append((" ".join(runs[i:j]), listed))
+            out.append((" ".join(runs[i:j]), listed, times[line.lower()]))
             i = j
     return out
 
 
 def page_features(text: str | None) -> tuple[str, list[int], list[float], list[float], list[float]]:
-    """Language, and of each unit: characters, share of function words, share in repeated word pairs (0 in listed lines, 1
-    between separators), link text ratio."""
+    """Language, and of each unit: characters, share of function words, share in top words and repeated word pairs (0 in
+    listed lines, 1 between separators and in repeated lines), link text ratio."""
     units = page_units(text or "")
-    words = [_WORD.findall(u.lower()) for u, _ in units]
+    words = [_WORD.findall(u.lower()) for u, _, _ in units]
     counts = Counter(w for s in words for w in s)
     lang = max(FUNCTION_WORDS, key=lambda k: sum(counts[w] for w in FUNCTION_WORDS[k]))
     function = FUNCTION_WORDS[lang]
@@ -80,11 +89,15 @@ def page_features(text: str | None) -> tuple[str, list[int], list[float], list[f
     placed = [[] if f >= PROSE_SHARE else _pairs(s, function) for f, s in zip(share, words, strict=True)]
     pairs = Counter(p[0] for here in placed for p in here)
     often = 3 if sum(counts.values()) >= LONG_PAGE_WORDS else 2
+    content = Counter(w for f, s in zip(share, words, strict=True) if f < PROSE_SHARE for w in s if w not in function)
+    least = max(TOP_WORD_TIMES, TOP_WORD_SHARE * sum(content.values()))
+    top = {w for w, n in content.items() if n >= least}
     repeated = [
-        _repeated(u, listed, s, f, here, pairs, often) if f < PROSE_SHARE else 0.0 for (u, listed), s, f, here in zip(units, words, share, placed, strict=True)
+        (1.0 if times >= TOP_WORD_TIMES and s and not listed else _repeated(u, listed, s, f, here, pairs, often, top)) if f < PROSE_SHARE else 0.0
+        for (u, listed, times), s, f, here in zip(units, words, share, placed, strict=True)
     ]
-    links = [sum(m.end() - m.start() for m in _LINK.finditer(u)) / len(u) if _LINKED.search(u) else 0.0 for u, _ in units]
-    return lang, [len(u) for u, _ in units], share, repeated, links
+    links = [sum(m.end() - m.start() for m in _LINK.finditer(u)) / len(u) if _LINKED.search(u) else 0.0 for u, _, _ in units]
+    return lang, [len(u) for u, _, _ in units], share, repeated, links
 
 
 def _pairs(words: list[str], function: frozenset[str]) -> list[tuple[tuple[str, str], int, int]]:
@@ -101,12 +114,12 @@ def _pairs(words: list[str], function: frozenset[str]) -> list[tuple[tuple[str,
     return out
 
 
-def _repeated(unit: str, listed: bool, words: list[str], share: float, here: list, pairs: Counter, often: int) -> float:
+def _repeated(unit: str, listed: bool, words: list[str], share: float, here: list, pairs: Counter, often: int, top: set[str]) -> float:
     if listed or not words:
         return 0.0
     if len(_SEPARATOR.findall(unit)) >= SEPARATORS_A_WORD * len(words):
         return 1.0
-    covered = {i for pair, a, b in here if pairs[pair] >= often for i in (a, b)}
+    covered = {i for pair, a, b in here if pairs[pair] >= often for i in (a, b)} | {i for i, w in enumerate(words) if w in top}
     content = round(len(words) * (1 - share))
     return len(covered) / content if content else 0.0
 

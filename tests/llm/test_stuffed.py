@@ -63,3 +63,15 @@ def test_edges(spark):
 def test_share_counts_characters():
     assert stuffed.stuffed_share([10, 30], [0.5, 0.0], [0.0, 1.0], [0.0, 0.0], 0.3, 0.4) == 0.75
     assert stuffed.stuffed_share([], [], [], [], 0.3, 0.4) == 0.0
+
+
+def test_single_keywords_repeated_lines_and_one_numbered_line(spark):
+    rows, want = pages()
+    rng = random.Random(4)
+    keys = "sale cheap vinyl deal offer price shoes boots".split()
+    one_a_line = "\n".join(rng.choice(["sale", "cheap"]) for _ in range(200))
+    shuffled = " ".join(rng.choice(keys) for _ in range(300))
+    repeated = "\n".join(["Company seals fast delivery Ostrel", "Minute books best price Kelvane"] * 20)
+    priced = " ".join(f"{rng.choice(['fast', 'cheap'])} company seal" for _ in range(60)) + " 1999"
+    odd = [(900 + i, t, "en", None) for i, t in enumerate([one_a_line, shuffled, repeated, priced, "2024 " + shuffled])]
+    assert found(spark, rows + odd) == want | {900, 901, 902, 903, 904}
