@@ -4,7 +4,9 @@ Test texts are cut into short items (windows of ``ITEM_WORDS`` words), documents
 of three-word shingles. Segments are partitioned by the number of test shingles they hold; a segment class uses as many
 MinHash functions as its size needs to find an item that it contains. Candidates are verified by the exact share of the
 item's shingles that the segment holds, and then word by word in order. MinHash runs over identifying shingles, those
-that few test cases share; the exact containment counts all shingles.
+that few test texts share; the exact containment counts all shingles. Items with too few identifying shingles are
+searched exactly: a segment that contains enough of an item holds at least one of its rarest shingles. A text that
+several cases share is one text with the list of its cases.
 
 Everything about a document is found where its row is read, so the corpus is never shuffled. The index of the test
 items travels to the tasks; it covers at most ``CASES_PER_PASS`` cases, and more cases take more passes over the corpus.
@@ -32,12 +34,13 @@ from lexspark.session import spread
 
 RUN_WORDS, EDITS_IN = 20, 8  # a run of 20 words, one edit in 8
 SHINGLE, ITEM_WORDS, ITEM_STEP, BLOCK = 3, 20, 4, 32
-IDENTIFYING_CASES = 4
+IDENTIFYING_TEXTS = 4
 CONTAINMENT = 0.45
 CASES_PER_PASS = 5_000
 #: (test shingles in a segment up to, MinHash functions): the larger the segment, the smaller the similarity of an item in it.
 SIZE_CLASSES = ((4, 8), (8, 14), (16, 22), (10**9, 32))
 DOCS_AT_ONCE = 512
+EXACT_AT_ONCE = 4096  # shingles whose items are listed together
 
 _MARKS = re.compile(r"\[\d{1,3}\]|[¹²³⁰-⁹*†‡§]+")
 _HYPHENS = re.compile(r"(?<=\w)[-‐‑­]\s*(?=\w)|­")
@@ -73,21 +76,25 @@ class TestIndex:
     """Items of the test cases with their shingles and MinHash signatures."""
 
     def __init__(self, cases: list[tuple[int, str | None, str | None]]):
-        self.texts = {}  # (case, is a question) -> words
+        self.texts = {}  # (number of the text, is a question) -> words
+        self.cases = defaultdict(list)  # the same key -> cases
+        numbers: dict[tuple[str, ...], int] = {}
         for case, passage, question in cases:
             for is_question, text in ((False, passage), (True, question)):
                 if len(words := words_of(text)) >= SHINGLE:
-                    self.texts[case, is_question] = words
+                    key = numbers.setdefault(tuple(words), len(numbers)), is_question
+                    self.texts[key] = words
+                    self.cases[key].append(case)
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for t in self.texts.values() for w in t}), 1)}
         base = np.int64(len(self.vocabulary) + 1)
         self.weights = np.array([base**2, base, 1], np.int64)
-        in_cases = defaultdict(set)
+        in_texts = defaultdict(set)
         coded = {k: self.shingles(self.codes(t)) for k, t in self.texts.items()}
-        for (case, _), s in coded.items():
+        for key, s in coded.items():
             for x in s.tolist():
-                in_cases[x].add(case)
-        self.universe = np.array(sorted(in_cases), np.int64)
-        identifying = np.array([len(in_cases[x]) <= IDENTIFYING_CASES for x in self.universe.tolist()], bool)
+                in_texts[x].add(self.cases[key][0])  # a text counts once, by its first case, as do both texts of a case
+        self.universe = np.array(sorted(in_texts), np.int64)
+        identifying = np.array([len(in_texts[x]) <= IDENTIFYING_TEXTS for x in self.universe.tolist()], bool)
         self.identifying = identifying
         functions = SIZE_CLASSES[-1][1]
         rng = np.random.default_rng(7)
@@ -105,6 +112,15 @@ class TestIndex:
         for i, s in enumerate(sets):
             self.items[i, : len(s)] = s
         self.need = np.array([max(1, math.ceil(CONTAINMENT * len(s))) for s in sets], np.int32)
+        # of every shingle, the items without enough identifying shingles that have it among their rarest
+        spread_over = np.array([len(in_texts[x]) for x in self.universe.tolist()], np.int64)
+        rarest = []
+        for i, s in enumerate(sets):
+            if identifying[s].sum() < self.need[i]:
+                first = s[np.argsort(spread_over[s], kind="stable")[: len(s) - self.need[i] + 1]]
+                rarest += [(x, i) for x in first.tolist()]
+        by_shingle = np.array(sorted(rarest), np.int64).reshape(-1, 2)
+        self.exact = np.searchsorted(by_shingle[:, 0], np.arange(len(self.universe) + 1)), by_shingle[:, 1]
         # of every function, the items by the identifying shingle that is their minimum
         self.buckets = []
         for f in range(functions):
@@ -154,6 +170,15 @@ class TestIndex:
                 if total := int(count.sum()):
                     offset = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
                     pairs.append(np.repeat(rows, count) * np.int64(len(self.keys)) + order[np.repeat(first[best], count) + offset])
+        first, order = self.exact
+        at_exact = np.flatnonzero(found & (first[at + 1] > first[at]))
+        for lo in range(0, len(at_exact), EXACT_AT_ONCE):
+            where = at_exact[lo : lo + EXACT_AT_ONCE]
+            count = first[at[where] + 1] - first[at[where]]
+            offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            items, block = order[np.repeat(first[at[where]], count) + offset], np.repeat(where // BLOCK, count)
+            for seg in (block, block - 1):
+                pairs.append(np.unique(seg[seg >= 0] * np.int64(len(self.keys)) + items[seg >= 0]))
         if not pairs:
             return none
         pairs = np.unique(np.concatenate(pairs))
@@ -182,16 +207,17 @@ class TestIndex:
 
     def verified(self, words: list[str], spans: dict) -> set[int]:
         out = set()
-        for (case, is_question), blocks in spans.items():
-            if case in out:
+        for key, blocks in spans.items():
+            if out.issuperset(self.cases[key]):
                 continue
-            text, margin = self.texts[case, is_question], 8 + (len(self.texts[case, is_question]) if is_question else 0)
+            text, is_question = self.texts[key], key[1]
+            margin = 8 + (len(text) if is_question else 0)
             blocks = sorted(set(blocks))
             groups = np.split(np.array(blocks), np.flatnonzero(np.diff(blocks) > 1) + 1)
             for g in groups:
                 part = words[max(0, int(g[0]) * BLOCK - margin) : (int(g[-1]) + 2) * BLOCK + margin]
                 if holds_run(text, part, len(text) if is_question else min(RUN_WORDS, len(text)), is_question):
-                    out.add(case)
+                    out.update(self.cases[key])
                     break
         return out
 

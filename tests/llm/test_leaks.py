@@ -90,3 +90,15 @@ def test_runs():
     assert leaks.holds_run(t, [*t[:10], "x", *t[11:18], "y", *t[19:21]], 20, False)
     assert leaks.holds_run(t, [*t[:20], "a", *t[20:]], 40, True) and not leaks.holds_run(t, t[:34], 40, True) and leaks.holds_run(t, t[:35], 40, True)
     assert not leaks.holds_run(t, [], 20, False)
+
+
+def test_passages_and_templates_that_many_cases_share(spark, cases):
+    rng = random.Random(6)
+    shared = " ".join(text(rng, 60))
+    same = [(300 + i, shared, None, None) for i in range(6)]
+    stem = text(rng, 40)  # six passages differ in their last words alone
+    stems = [(400 + i, " ".join([*stem, *(f"u{i}x{k}" for k in range(30))]), None, None) for i in range(6)]
+    two = [(500, " ".join(text(rng, 50)), None, None), (500, " ".join(text(rng, 50)), None, None)]  # two passages of one case
+    docs = [(1, " ".join(text(rng, 200)) + " " + shared, None, None), (2, " ".join(text(rng, 90) + stem), None, None), (3, two[0][1], None, None), (4, two[1][1], None, None)]
+    want = {(1, 300 + i) for i in range(6)} | {(2, 400 + i) for i in range(6)} | {(3, 500), (4, 500)}
+    assert found(spark, docs, [*cases, *same, *stems, *two]) == want
