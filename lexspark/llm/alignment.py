@@ -2,10 +2,10 @@
 
 Concepts are groups of whole paired documents, shared by both languages: over the same concept a term and its translation
 occur equally often. Spark counts the sentences of every term and concept; a term becomes the vector of its standardised
-counts over the concepts, a sentence the weighted sum of its terms, cut to its strongest concepts, and tokens that both
-sides of the document write alike (numbers, names) are concepts of their own. A sparse cosine join in SQL finds the
-sentences of both sides of a document that are similar; their products are then taken over all concepts, and spans of up
-to three sentences are chosen best first, which keeps the mutually best. A merged sentence gets all its partners.
+counts over the concepts, a sentence the weighted sum of its terms, and tokens that both sides of the document write
+alike (numbers, names) are concepts of their own. The products of all sentences of both sides of a document are taken
+over all concepts, block by block, and with them the cosines of all spans of up to three sentences; the spans are chosen
+best first, which keeps the mutually best. A merged sentence gets all its partners.
 
 Defined results: null or empty sides have no pairs; a null sentence keeps its position and has none; the side that has
 more of the first language's function words counts as that language, whatever the language columns say; repeated rows
@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexspark.llm.batches import map_rows
-from lexspark.session import partitions, spread, written
+from lexspark.session import partitions, written
 
-CONCEPTS, STRONGEST, SPAN = 256, 32, 3
+CONCEPTS, SPAN = 256, 3
+#: Products of sentences that are held at once.
+PRODUCTS_AT_ONCE, ROUNDING = 2**20, 1e-4
 #: A term counts by its concepts from this share of the sentences on; at most 4000 terms per term of a sentence do.
 LEAST_TERM_SHARE, LEAST_TERM_SENTENCES = 1 / 4000, 4
-LEAST_COSINE, LEAST_CONTAINED, LEAST_KEPT = 0.28, 0.6, 0.1
+LEAST_COSINE, LEAST_CONTAINED = 0.28, 0.6
 
 # Words that tell the first language from the second.
 FIRST_LANGUAGE = ("the", "a", "an", "of", "and", "is", "to", "not", "or", "in", "must", "may", "for", "by", "with")
@@ -115,39 +117,6 @@ def learn_terms(pairs: DataFrame) -> TermModel:
     return TermModel(terms.filter(F.col("df") >= enough).select("side", "term", "counts").collect(), n, least)
 
 
-def sentence_vectors(pairs: DataFrame, model: TermModel) -> DataFrame:
-    """(doc_id, a, b): of every sentence its strongest concepts and its shared tokens with their weights, at length 1."""
-
-    def sparse(total: np.ndarray, tokens: list[dict[int, float]]) -> list[list[tuple[int, float]]]:
-        strongest = np.argpartition(np.abs(total), -STRONGEST, axis=1)[:, -STRONGEST:]
-        out = []
-        for row, at, mine in zip(total, strongest, tokens, strict=True):
-            v = {int(c): float(row[c]) for c in at if row[c]} | mine
-            norm = math.sqrt(sum(x * x for x in v.values()))
-            out.append([(k, x / norm) for k, x in v.items()])
-        return out
-
-    def vectors(rows: list[dict]) -> list[dict]:
-        out = []
-        for r in rows:
-            alike = model.alike(r["a"], r["b"])
-            out.append({"doc_id": r["doc_id"]} | {side: [[{"d": k, "w": x} for k, x in v] for v in sparse(*model.dense(side, r[side], alike))] for side in "ab"})
-        return out
-
-    vector = T.ArrayType(T.ArrayType(T.StructType([T.StructField("d", T.IntegerType()), T.StructField("w", T.FloatType())])))
-    return map_rows(pairs.select("doc_id", "a", "b"), vectors, T.StructType([pairs.schema["doc_id"], T.StructField("a", vector), T.StructField("b", vector)]))
-
-
-def products(vectors: DataFrame) -> DataFrame:
-    """The sparse cosine join: (doc_id, i, j) of the sentences of both sides that are similar at all."""
-    sides = []
-    for s, no in (("a", "i"), ("b", "j")):
-        rows = vectors.select("doc_id", F.posexplode(s).alias(no, "v")).select("doc_id", no, F.explode("v").alias("x"))
-        sides.append(rows.select("doc_id", no, F.col("x.d").alias("dim"), F.col("x.w").cast("double").alias(f"{no}_w")))
-    cosines = sides[0].join(sides[1], ["doc_id", "dim"]).groupBy("doc_id", "i", "j").agg(F.sum(F.col("i_w") * F.col("j_w")).alias("cosine"))
-    return cosines.filter(F.col("cosine") >= LEAST_KEPT).select("doc_id", "i", "j")
-
-
 class Document:
     """The exact products of the sentences of one document, computed only where they are asked for."""
 
@@ -168,19 +137,46 @@ class Document:
         return sum(self.dot(side, s, side, t) for s in span for t in span)
 
 
-def best_spans(document: Document, near: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
+def similar_spans(document: Document) -> list[tuple[int, int, int, int]]:
+    """(x, p, y, q) of the spans, p sentences from x on and q from y on, that reach the least cosine and containment.
+
+    All pairs of spans are compared; blocks of rows bound the memory.
+    """
+    (va, ta), (vb, tb) = document.sides
+    n_a, n_b = len(ta), len(tb)
+    norms = [{p: np.array([document.norm(side, range(x, x + p)) for x in range(n - p + 1)]) for p in range(1, SPAN + 1)} for side, n in ((0, n_a), (1, n_b))]
+    holders: dict[int, list[tuple[int, float]]] = {}
+    for j, tokens in enumerate(tb):
+        for k, w in tokens.items():
+            holders.setdefault(k, []).append((j, w))
+    at = {k: (np.array([j for j, _ in held]), np.array([w for _, w in held])) for k, held in holders.items()}
+    height, out = max(1, PRODUCTS_AT_ONCE // max(1, n_b)), []
+    for lo in range(0, n_a, height):
+        block = (va[lo : lo + height + SPAN - 1] @ vb.T).astype(np.float64)
+        for row, tokens in zip(block, ta[lo : lo + height + SPAN - 1], strict=True):
+            for k, w in tokens.items():
+                if k in at:
+                    row[at[k][0]] += w * at[k][1]
+        for p, q in [(1, 1), *((p, 1) for p in range(2, SPAN + 1)), *((1, q) for q in range(2, SPAN + 1))]:
+            rows, columns = min(height, len(block) - p + 1), n_b - q + 1
+            if rows < 1 or columns < 1:
+                continue
+            dot = sum(block[d : d + rows, e : e + columns] for d in range(p) for e in range(q))
+            one, two = norms[0][p][lo : lo + rows, None], norms[1][q][None, :]
+            least, both = np.minimum(one, two), np.sqrt(np.maximum(one, 0.0)) * np.sqrt(np.maximum(two, 0.0))
+            near = (least > 0) & (dot >= (LEAST_COSINE - ROUNDING) * both) & (dot >= (LEAST_CONTAINED - ROUNDING) * least)
+            out += [(lo + x, p, y, q) for x, y in np.argwhere(near).tolist()]
+    return out
+
+
+def best_spans(document: Document) -> list[tuple[int, int, float]]:
     """Pairs of sentences of the spans that are chosen best first; no sentence is in two spans."""
-    n_a, n_b = (len(side[1]) for side in document.sides)
     spans = {}
-    for i, j in near:
-        for p, q in [(1, 1), *((p, 1) for p in range(2, SPAN + 1)), *((1, q) for q in range(2, SPAN + 1))]:
-            for x in range(max(0, i - p + 1), min(i, n_a - p) + 1):
-                for y in range(max(0, j - q + 1), min(j, n_b - q) + 1):
-                    if (x, p, y, q) not in spans:
-                        mine, theirs = range(x, x + p), range(y, y + q)
-                        dot = sum(document.dot(0, s, 1, t) for s in mine for t in theirs)
-                        one, two = document.norm(0, mine), document.norm(1, theirs)
-                        spans[x, p, y, q] = (dot / math.sqrt(one * two), dot / min(one, two)) if min(one, two) > 0 else (0.0, 0.0)
+    for x, p, y, q in similar_spans(document):
+        mine, theirs = range(x, x + p), range(y, y + q)
+        dot = sum(document.dot(0, s, 1, t) for s in mine for t in theirs)
+        one, two = document.norm(0, mine), document.norm(1, theirs)
+        spans[x, p, y, q] = (dot / math.sqrt(one * two), dot / min(one, two))
     out, used_a, used_b = [], set(), set()
     for (x, p, y, q), (cosine, contained) in sorted(spans.items(), key=lambda s: (-s[1][0], s[0])):
         if cosine < LEAST_COSINE:
@@ -201,13 +197,12 @@ def align_sentences(documents: DataFrame, id_col: str = "doc_id", left: str = "l
     """(doc_id, left_no, right_no, cosine) of the sentences that translate each other, positions from 0."""
     pairs = written(paired_words(documents, id_col, left, right), "paired-words")
     model = learn_terms(pairs)
-    near = products(sentence_vectors(spread(pairs), model)).groupBy("doc_id").agg(F.collect_list(F.struct("i", "j")).alias("near"))
-    rows = pairs.join(near, "doc_id").select("doc_id", "flipped", "a", "b", "near").repartition(partitions(pairs.sparkSession), "doc_id")
+    rows = pairs.select("doc_id", "flipped", "a", "b").repartition(partitions(pairs.sparkSession), "doc_id")
 
     def choose(batch: list[dict]) -> list[dict]:
         out = []
         for r in batch:
-            found = best_spans(Document(model, r["a"], r["b"]), sorted((x["i"], x["j"]) for x in r["near"]))
+            found = best_spans(Document(model, r["a"], r["b"]))
             out += [{"doc_id": r["doc_id"], "left_no": t if r["flipped"] else s, "right_no": s if r["flipped"] else t, "cosine": c} for s, t, c in found]
         return out
 

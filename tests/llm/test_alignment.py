@@ -1,5 +1,8 @@
+import math
 import random
 
+import numpy as np
+
 from lexspark.llm import alignment
 
 SCHEMA = "doc_id long, left_sents array<string>, right_sents array<string>, left_lang string, right_lang string, left_no int"
@@ -59,3 +62,49 @@ def test_long_document(spark):
     rows.append((999, ["the " + " ".join(EN[w] for w in s) for s in plain], ["le " + " ".join(FR[w] for w in s) for s in plain], None, None, 0))
     got = aligned(spark, rows)[999]
     assert len(got & {(i, i) for i in range(400)}) >= 360
+
+
+def test_every_span_is_compared_over_all_concepts():
+    """Sentences whose likeness lies outside their strongest concepts."""
+    n = alignment.CONCEPTS
+    a, b = np.zeros((1, n), np.float32), np.zeros((3, n), np.float32)
+    a[0, :32], b[1, 32:64] = 2.0, 2.0  # the strongest concepts of each are none of the other's
+    a[0, 64:], b[1, 64:] = 1.0, 1.0
+    b[0, 0], b[2, 63] = 1.0, 1.0
+
+    class Fixed:
+        def alike(self, one, two):
+            return {}
+
+        def dense(self, side, sentences, alike):
+            return {"a": a, "b": b}[side], [{} for _ in sentences]
+
+    document = alignment.Document(Fixed(), [["x"]], [["y"], ["z"], ["w"]])
+    assert {(s, t) for s, t, _ in alignment.best_spans(document)} >= {(0, 1)}
+
+
+def test_blocks_hold_the_same_spans(monkeypatch):
+    rng = np.random.default_rng(5)
+    a, b = (rng.normal(size=(n, alignment.CONCEPTS)).astype(np.float32) for n in (17, 13))
+    b[:10] += 2 * a[2:12]
+
+    class Fixed:
+        def alike(self, one, two):
+            return {"k": alignment.CONCEPTS}
+
+        def dense(self, side, sentences, alike):
+            return {"a": a, "b": b}[side], [{alignment.CONCEPTS: 3.0} if i % 5 == 0 else {} for i in range(len(sentences))]
+
+    document = alignment.Document(Fixed(), [["x"]] * 17, [["y"]] * 13)
+    whole = sorted(alignment.similar_spans(document))
+    want = []
+    for p, q in [(1, 1), (2, 1), (3, 1), (1, 2), (1, 3)]:
+        for x in range(17 - p + 1):
+            for y in range(13 - q + 1):
+                mine, theirs = range(x, x + p), range(y, y + q)
+                dot, one, two = sum(document.dot(0, s, 1, t) for s in mine for t in theirs), document.norm(0, mine), document.norm(1, theirs)
+                if dot >= alignment.LEAST_COSINE * math.sqrt(one * two) and dot >= alignment.LEAST_CONTAINED * min(one, two):
+                    want.append((x, p, y, q))
+    assert whole == sorted(want) and want
+    monkeypatch.setattr(alignment, "PRODUCTS_AT_ONCE", 40)
+    assert sorted(alignment.similar_spans(document)) == whole
