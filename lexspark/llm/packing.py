@@ -2,8 +2,9 @@
 
 Spark counts the tokens of every document and the histogram of item lengths. The histogram has at most ``capacity``
 entries however many documents there are, so the configuration linear program over it is solved on the driver:
-multiplicative weights over the lengths, with a knapsack dynamic program as pricing step, then rounding down and filling
-up what is left. Spark then ranks the documents within each length and looks up the container of each rank.
+multiplicative weights over the lengths, with a knapsack dynamic program as pricing step, to a measured gap. It is rounded,
+and solved and rounded again for what is left; only the last few hundredths of the space are filled up item by item. Spark
+then ranks the documents within each length and looks up the container of each rank.
 
 Defined results: a null or empty text has no tokens and gets a row with part_no 0 and a null container; repeated rows
 of one doc_id count once, with the longest text; an empty table gives an empty result; other columns are ignored.
@@ -12,6 +13,7 @@ of one doc_id count once, with the longest text; an empty table gives an empty r
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +24,8 @@ from lexspark.session import written
 CAPACITY = 1024
 #: ``\w+|[^\w\s]`` of Python spelled out by character class, since Java's ``\w`` differs.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}]"
+#: Gap of the linear program, rounds after which it ends all the same, and the share of the space that is filled up at the end.
+GAP, ROUNDS, REST = 0.06, 300, 0.06
 #: Rows of one length that one task ranks.
 ROWS_PER_RANKING_TASK = 200_000
 
@@ -30,71 +34,111 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
 
 
-def best_filling(values: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]:
-    """Unbounded knapsack by dynamic programming: the filling of greatest value, as {index of size: copies}."""
+def filling_table(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
+    """Unbounded knapsack by dynamic programming: the best value of every room, and the size that its best filling takes first."""
     best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(sizes, np.arange(capacity + 1), "right")
-    for w in range(1, capacity + 1):
-        best[w] = best[w - 1]
-        if k := upto[w]:
-            gain = values[:k] + best[w - sizes[:k]]
+    upto = np.searchsorted(sizes, np.arange(capacity + 1), "right").tolist()
+    for room in range(1, capacity + 1):
+        top = best[room - 1]
+        if k := upto[room]:
+            gain = values[:k] + best[room - sizes[:k]]
             i = int(gain.argmax())
-            if gain[i] > best[w]:
-                best[w], pick[w] = gain[i], i
+            if gain[i] > top:
+                top, pick[room] = gain[i], i
+        best[room] = top
+    return best, pick.tolist()
+
+
+def traced(pick: list[int], sizes: list[int], need: list[int], room: int, first: int | None = None) -> dict[int, int]:
+    """The filling of a room as {index of size: copies}, with ``first`` in it; no size more often than it is needed."""
     out: dict[int, int] = {}
-    w = capacity
-    while w > 0:
-        if (i := int(pick[w])) < 0:
-            w -= 1
+    if first is not None:
+        out[first] = 1
+        room -= sizes[first]
+    while room > 0:
+        i = pick[room]
+        if i < 0 or out.get(i, 0) >= need[i]:
+            room -= 1
         else:
             out[i] = out.get(i, 0) + 1
-            w -= int(sizes[i])
+            room -= sizes[i]
     return out
 
 
-def configuration_lp(counts: dict[int, int], capacity: int, eps: float = 0.3, rounds: int = 800) -> list[tuple[dict[int, int], float]]:
+def best_filling(values: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]:
+    """The filling of greatest value, as {index of size: copies}."""
+    return traced(filling_table(values, sizes, capacity)[1], sizes.tolist(), [capacity] * len(sizes), capacity)
+
+
+class Fractional(NamedTuple):
+    configurations: list[tuple[dict[int, int], float]]
+    primal: float
+    dual: float
+
+
+def configuration_lp(counts: dict[int, int], capacity: int, gap: float = GAP, eps: float = 0.5, priced: int = 64, most_rounds: int = ROUNDS) -> Fractional:
     """Fractional covering of the length histogram by configurations {length: copies}, by multiplicative weights.
 
-    Each round prices all configurations by one knapsack and takes the best with the step that raises the coverage of
-    some length by one unit; the weight of a length falls exponentially with its coverage.
+    The price of a length is its size times a weight that falls exponentially with its coverage. Every round prices all
+    configurations by one knapsack table and takes, for each of the least covered lengths, the best configuration that
+    holds it, with the step that covers some length once. The rounds end at the wanted gap between the primal value (all
+    steps, scaled to cover every length) and the dual one (the prices, scaled to make no configuration dearer than 1), or
+    after ``most_rounds``; both values are returned.
     """
     sizes = np.array(sorted(counts))
-    need = np.array([counts[s] for s in sizes], dtype=float)
-    covered, taken = np.zeros(len(sizes)), {}
-    target = max(1.0, math.log(len(sizes) + 1) / eps**2)
-    for _ in range(rounds):
-        if (covered >= target).all():
-            break
-        open_ = covered < target
-        ids = np.flatnonzero(open_)
-        weights = np.exp(-eps * (covered[ids] - covered[ids].min())) / need[ids]
-        # lengths are priced by the space they need, so that coverage and not the count of small items decides
-        config = best_filling(weights * sizes[ids] * need[ids], sizes[ids], capacity)
-        config = {int(ids[i]): min(a, int(need[ids[i]])) for i, a in config.items()}
-        step = min(need[i] / a for i, a in config.items())
-        for i, a in config.items():
-            covered[i] += a * step / need[i]
-        key = tuple(sorted(config.items()))
-        taken[key] = taken.get(key, 0.0) + step
-    scale = 1 / max(float(covered.max()), 1.0)
-    return [({int(sizes[i]): a for i, a in key}, x * scale) for key, x in taken.items()]
-
-
-def round_and_fill(counts: dict[int, int], fractional: list[tuple[dict[int, int], float]], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Whole configurations that hold every item once: the fractional ones rounded down, then the rest by knapsacks
-    that take the longest items first."""
-    left, out = dict(counts), []
+    plain = sizes.tolist()
+    need = [counts[s] for s in plain]
+    covered, taken, total = np.zeros(len(sizes)), {}, 0.0
+    primal = dual = 0.0
+    for _ in range(most_rounds):
+        prices = sizes * np.exp(-eps * (covered - covered.min()))
+        best, pick = filling_table(prices, sizes, capacity)
+        dual = max(dual, float(prices @ need) / float(best[capacity]))
+        low = np.argsort(covered, kind="stable")[:priced]
+        for first in low.tolist():
+            config = traced(pick, plain, need, capacity, first)
+            step = min(need[i] / a for i, a in config.items())
+            for i, a in config.items():
+                covered[i] += a * step / need[i]
+            key = tuple(sorted(config.items()))
+            taken[key] = taken.get(key, 0.0) + step
+            total += step
+        if (least := float(covered.min())) > 0:
+            primal = total / least
+            if primal <= (1 + gap) * dual:
+                break
+    scale = 1 / max(float(covered.min()), 1.0)
+    return Fractional([({plain[i]: a for i, a in key}, x * scale) for key, x in taken.items()], primal, dual)
 
-    def take(config: dict[int, int], at_most: float) -> None:
-        n = int(min([at_most, *(left[s] // a for s, a in config.items())]))
-        if n > 0:
-            out.append((config, n))
-            for s, a in config.items():
-                left[s] -= a * n
 
-    for config, x in sorted(fractional, key=lambda c: (capacity - sum(s * a for s, a in c[0].items()), -c[1])):
-        if capacity - sum(s * a for s, a in config.items()) <= capacity // 256:
-            take(config, math.floor(x))
+def _take(plan: list, left: dict[int, int], config: dict[int, int], at_most: float) -> None:
+    """Fill up to ``at_most`` containers by a configuration, as far as its items are left."""
+    n = int(min([at_most, *(left[s] // a for s, a in config.items())]))
+    if n > 0:
+        plan.append((config, n))
+        for s, a in config.items():
+            left[s] -= a * n
+
+
+def rounded(left: dict[int, int], fractional: list[tuple[dict[int, int], float]], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Whole configurations of the items in ``left``, which they are taken from: each one rounded down, then one more of
+    every configuration at which the running sum of the fractions passes a whole number. The fullest go first."""
+    plan: list[tuple[dict[int, int], int]] = []
+    fullest = sorted(fractional, key=lambda c: (capacity - sum(s * a for s, a in c[0].items()), -c[1]))
+    for config, x in fullest:
+        _take(plan, left, config, math.floor(x))
+    at = 0.5
+    for config, x in fullest:
+        at += x - math.floor(x)
+        if at >= 1:
+            at -= 1
+            _take(plan, left, config, 1)
+    return plan
+
+
+def filled_up(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Containers for a few items that rounding left over: knapsacks that take the longest item first."""
+    left, out = dict(counts), []
     while any(left.values()):
         sizes = np.array(sorted(s for s, n in left.items() if n))
         longest = int(sizes[-1])
@@ -113,25 +157,43 @@ def round_and_fill(counts: dict[int, int], fractional: list[tuple[dict[int, int]
                     room -= a * s
             if room == before:
                 break
-        take(rest, math.inf)
+        _take(out, left, rest, math.inf)
     return out
 
 
-def tightest_plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """The rounded linear program, or filling up alone where rounding costs a few containers more and space is left."""
-    if not counts:
-        return []
-    used = lambda plan: sum(n for _, n in plan)
-    plan = round_and_fill(counts, configuration_lp(counts, capacity), capacity)
-    if used(plan) <= math.ceil(sum(s * n for s, n in counts.items()) / capacity):
-        return plan  # no plan has fewer
-    return min(plan, round_and_fill(counts, [], capacity), key=used)
+class Plan(NamedTuple):
+    containers: list[tuple[dict[int, int], int]]
+    from_lp: int
+    filled_up: int
+    primal: float
+    dual: float
+
+
+def container_plan(counts: dict[int, int], capacity: int, rest: float = REST) -> Plan:
+    """Configurations with the number of their containers, which hold every item once.
+
+    The linear program is solved and rounded; what rounding leaves is a smaller histogram, for which it is solved and
+    rounded again, until less than ``rest`` of all space is left to be filled up item by item. ``primal`` and ``dual`` are
+    those of the first program.
+    """
+    whole = sum(s * n for s, n in counts.items())
+    left, containers, values = {s: n for s, n in counts.items() if n}, [], None
+    while left and (values is None or sum(s * n for s, n in left.items()) > rest * whole):
+        solved = configuration_lp(left, capacity)
+        values = values or (solved.primal, solved.dual)
+        some = rounded(left, solved.configurations, capacity)
+        left = {s: n for s, n in left.items() if n}
+        containers += some
+        if not some:
+            break
+    last = filled_up(left, capacity)
+    return Plan(containers + last, sum(n for _, n in containers), sum(n for _, n in last), *(values or (0.0, 0.0)))
 
 
 def plan_containers(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Rows (length, first rank, end of ranks, copies per container, number of the first container)."""
     slots, used, first = [], dict.fromkeys(counts, 0), 0
-    for config, n in tightest_plan(counts, capacity):
+    for config, n in container_plan(counts, capacity).containers:
         for s, a in config.items():
             slots.append((s, used[s], used[s] + a * n, a, first))
             used[s] += a * n

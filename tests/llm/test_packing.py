@@ -40,6 +40,25 @@ def test_whole_and_tight(spark, seed):
     assert packing.container_fill(out, 100).agg(F.min("unused")).first()[0] >= 0
 
 
+@pytest.mark.parametrize("times", [1, 1000])
+def test_containers_come_from_the_program(times):
+    rng = random.Random(3)
+    counts = {}
+    for _ in range(4000):
+        s = min(int(rng.paretovariate(1.1) * 20), 1024)
+        counts[s] = counts.get(s, 0) + times
+    plan = packing.container_plan(counts, 1024)
+    held = {}
+    for config, n in plan.containers:
+        assert sum(s * a for s, a in config.items()) <= 1024
+        for s, a in config.items():
+            held[s] = held.get(s, 0) + a * n
+    assert held == counts
+    assert plan.dual <= plan.primal <= 1.1 * plan.dual
+    assert plan.from_lp >= 0.9 * (plan.from_lp + plan.filled_up)
+    assert plan.from_lp + plan.filled_up <= 1.01 * sum(s * n for s, n in counts.items()) / 1024 + 1
+
+
 def test_hard_sizes(spark):
     # 51 fits with 49 only; first-fit by arrival would waste half
     sizes = [51] * 40 + [49] * 40 + [34] * 30 + [33] * 60
