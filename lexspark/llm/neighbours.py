@@ -1,10 +1,12 @@
 """Problem 2: the k most similar vectors of every vector, by a block matrix join.
 
-Vectors of one model are dealt to blocks; every pair of a query block and a base block is one tile, and the tiles are one
-shuffle. A tile holds the vectors as int8 codes. Products of codes are sums of integers below 2**24, so a float32 matrix
-product gives them exactly; with the norms of the quantisation errors they bound every cosine from both sides. Only pairs
-whose upper bound reaches the k-th best lower bound of their query are recomputed in double precision, and heaps of k
-merge the results of the tiles.
+Every vector is quantised once, to an int8 code and a second int8 code of what the first leaves. Vectors of one model are
+dealt to blocks; every pair of a query block and a base block is one tile, and the codes travel to their tiles in one
+shuffle. Products of first codes are sums of integers below 2**24, so a float32 matrix product gives them exactly; with
+the norms of the quantisation errors they bound every cosine from both sides. Pairs whose upper bound reaches the k-th
+best lower bound of their query are bounded again by both codes, some 250 times as tightly, and leave the tile if they
+still reach it. Of all tiles of a query the same rule keeps little more than k pairs; only for those are the float vectors
+fetched, the cosines taken in double precision, and the lists merged by heaps.
 
 Exact copies of a vector are searched once: a base copy beyond the k + 1 smallest ids of its group can't be among the k
 nearest of anything, as all copies are equally near and smaller ids go first.
@@ -17,79 +19,108 @@ vector of the id, in array order); fewer than k other vectors give fewer neighbo
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
-from lexspark.session import written
+from lexspark.session import checked_join, written
 
 DIMENSIONS, K, DECIMALS = 128, 10, 6
-#: Vectors of a query block and of a base block; a tile needs about 0.6 kB a vector and 4 bytes a pair of a strip.
-QUERY_BLOCK, BASE_BLOCK, STRIP = 4096, 16384, 2048
+#: Vectors of a query block and of a base block; a tile needs about 0.3 kB a vector and 4 bytes a pair of a strip.
+QUERY_BLOCK, BASE_BLOCK, STRIP = 8192, 32768, 1024
+#: Steps of the second code within one of the first; partitions a tile, so that few tiles share one; most partitions.
+STEPS, PARTITIONS_A_TILE, MOST_PARTITIONS = 254, 8, 20_000
+#: Pairs that are computed at once.
+PAIRS_AT_ONCE = 65_536
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     v = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    scale = np.abs(v).max(axis=1, keepdims=True)  # first, so that very small or large numbers don't under- or overflow
+    scale = np.abs(v).max(axis=1, keepdims=True) if v.size else 1.0  # first, so that very small or large numbers don't under- or overflow
     v = v / scale
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes (held as float32 for the matrix product), scale, norm of what the codes stand for, norm of the error."""
-    scale = np.abs(unit).max(axis=1) / 127
-    codes = np.rint(unit / scale[:, None])
-    stands_for = codes * scale[:, None]
-    return codes.astype(np.int8).astype(np.float32), scale, np.sqrt((stands_for**2).sum(axis=1)), np.sqrt(((unit - stands_for) ** 2).sum(axis=1))
+class Codes(NamedTuple):
+    """Two int8 codes of every vector, the step of the first one, and the norms of what the first and what both leave."""
 
+    first: np.ndarray
+    second: np.ndarray
+    step: np.ndarray
+    error: np.ndarray
+    rest: np.ndarray
 
-def tile_neighbours(q_ids, q_unit, b_ids, b_unit, k: int, decimals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each query its k best of the base: (query index, base id, rounded cosine)."""
-    qc, qs, qn, qe = quantised(q_unit)
-    bc, bs, bn, be = quantised(b_unit)
+    def both(self) -> np.ndarray:
+        return self.first.astype(np.int32) * STEPS + self.second
+
+
+def quantised(unit: np.ndarray) -> Codes:
+    step = (np.abs(unit).max(axis=1) / 127 * (1 + 1e-6)).astype(np.float32)
+    wide = step.astype(np.float64)[:, None]
+    first = np.rint(unit / wide)
+    left = unit - first * wide
+    second = np.rint(left / (wide / STEPS))
+    rest = left - second * (wide / STEPS)
+    norm = lambda x: np.nextafter(np.sqrt((x * x).sum(axis=1)).astype(np.float32), np.float32(1))
+    return Codes(first.astype(np.int8), second.astype(np.int8), step, norm(left), norm(rest))
+
+
+def tile_neighbours(q_ids: np.ndarray, q: Codes, b_ids: np.ndarray, b: Codes, k: int, decimals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of a tile that may be among the k best of their query: (query index, base id, cosine, most it is wrong by)."""
+    qc, bc = q.first.astype(np.float32), b.first.astype(np.float32)
+    qs, bs = q.step.astype(np.float64), b.step.astype(np.float64)
+    qn, bn = np.sqrt((qc * qc).sum(axis=1)) * qs, np.sqrt((bc * bc).sum(axis=1)) * bs
+    qs32, bs32 = q.step, b.step
     ulp = 0.5 * 10.0**-decimals + 1e-9  # pairs that may be equal after rounding stay in
     floor = np.full(len(q_ids), -np.inf)  # k-th best lower bound of each query so far
     kept_q, kept_b, kept_up = [], [], []
-    bs32, qs32 = bs.astype(np.float32), qs.astype(np.float32)
     for at in range(0, len(b_ids), STRIP):
         cut = slice(at, at + STRIP)
         near = qc @ bc[cut].T
         near *= qs32[:, None]
         near *= bs32[None, cut]
         # |cos - near| <= |q'||be| + |qe||b'| + |qe||be|, and float32 scaling adds less than 1e-6
-        slack = qn * be[cut].max() + qe * bn[cut].max() + qe * be[cut].max() + 2e-6
+        slack = qn * b.error[cut].max() + q.error * bn[cut].max() + q.error * b.error[cut].max() + 2e-6
         width = near.shape[1]
-        if width > k:
-            best = np.partition(near, width - k - 1, axis=1)[:, width - k - 1] if at == 0 else None  # k + 1 best: one may be the query itself
-            if best is not None:
-                floor = np.maximum(floor, best - slack)
+        if width > k and at == 0:
+            best = np.partition(near, width - k - 1, axis=1)[:, width - k - 1]  # k + 1 best: one may be the query itself
+            floor = np.maximum(floor, best - slack)
         i, j = np.nonzero(near >= (floor - slack - 2 * ulp)[:, None].astype(np.float32))
         kept_q.append(i)
         kept_b.append(j + at)
         kept_up.append(near[i, j] + slack[i])
         if width > k and at + STRIP < len(b_ids) and len(i):
-            low = near[i, j] - slack[i]
-            order = np.lexsort((-low, i))
-            i, low = i[order], low[order]
-            place = np.arange(len(i)) - np.searchsorted(i, i, "left")
-            hit = place == k
-            floor[i[hit]] = np.maximum(floor[i[hit]], low[hit])
+            floor = np.maximum(floor, _kth(i, near[i, j] - slack[i], len(q_ids), k))
     i, j, up = np.concatenate(kept_q), np.concatenate(kept_b), np.concatenate(kept_up)
     still = (up >= floor[i] - 2 * ulp) & (q_ids[i] != b_ids[j])
     i, j = i[still], j[still]
-    cos = np.empty(len(i))
-    for at in range(0, len(i), 65536):
-        cut = slice(at, at + 65536)
-        cos[cut] = np.einsum("nd,nd->n", q_unit[i[cut]], b_unit[j[cut]])
-    cos = np.round(cos, decimals) + 0.0
-    order = np.lexsort((b_ids[j], -cos, i))
-    i, j, cos = i[order], j[order], cos[order]
-    first = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
-    return i[first], b_ids[j[first]], cos[first]
+    # both codes: integers below 2**38, exact in double precision
+    q2, b2, cos = q.both(), b.both(), np.empty(len(i))
+    for at in range(0, len(i), PAIRS_AT_ONCE):
+        cut = slice(at, at + PAIRS_AT_ONCE)
+        cos[cut] = np.einsum("nd,nd->n", q2[i[cut]].astype(np.float64), b2[j[cut]].astype(np.float64))
+    cos *= qs[i] / STEPS * (bs[j] / STEPS)
+    wrong = (1 + q.rest[i].astype(np.float64)) * b.rest[j] + q.rest[i] * (1 + b.rest[j].astype(np.float64)) + 1e-9  # |q'| <= 1 + |qe|
+    near_enough = cos + wrong >= _kth(i, cos - wrong, len(q_ids), k - 1)[i] - 2 * ulp
+    return i[near_enough], b_ids[j[near_enough]], cos[near_enough], wrong[near_enough]
+
+
+def _kth(i: np.ndarray, values: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Of every query its value at place ``k`` (from 0) from the greatest on, -inf where it has fewer."""
+    order = np.lexsort((-values, i))
+    i, values = i[order], values[order]
+    hit = np.arange(len(i)) - np.searchsorted(i, i, "left") == k
+    out = np.full(n, -np.inf)
+    out[i[hit]] = values[hit]
+    return out
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, model_col: str, dimensions: int) -> DataFrame:
@@ -105,45 +136,78 @@ def nearest(
     dimensions: int = DIMENSIONS, decimals: int = DECIMALS, query_block: int = QUERY_BLOCK, base_block: int = BASE_BLOCK,
 ) -> DataFrame:
     """(id, neighbour, cosine, rank): the k nearest of every usable vector among the others of its model."""
-    spark = vectors.sparkSession
-    rows = written(usable(vectors, id_col, vector_col, model_col, dimensions), "usable-vectors")
-    place = Window.partitionBy("model", "v").orderBy("id")
-    few = rows.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k + 1)  # k + 1 ids of each group of copies
-    few = written(few.withColumn("head", F.min("id").over(Window.partitionBy("model", "v"))), "distinct-vectors")
-    heads = few.filter("place = 1").select("head", "model", "v")
-    sizes = heads.groupBy("model").count()
-    blocks = heads.join(sizes, "model").select(
-        "head", "model", "v",
-        F.ceil(F.col("count") / query_block).cast("int").alias("nq"), F.ceil(F.col("count") / base_block).cast("int").alias("nb"),
-    )
-    mix = lambda seed: F.xxhash64("head", F.lit(seed))
-    as_query = blocks.select("head", "model", "v", F.lit(True).alias("query"), F.pmod(mix(1), F.col("nq")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
-    as_base = blocks.select("head", "model", "v", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("i"), F.pmod(mix(2), F.col("nb")).alias("j"))
-    cells = as_query.withColumn("i", F.col("i").cast("int")).unionByName(as_base.withColumn("j", F.col("j").cast("int")))
+    rows = usable(vectors, id_col, vector_col, model_col, dimensions)
+    rows = written(rows.withColumns({"d": F.xxhash64("v", F.lit(1)), "e": F.xxhash64("v", F.lit(2))}), "usable-vectors")
+    same = ["model", "d", "e"]  # 128 bits stand for a vector
+    members = written(rows.select("id", *same).join(rows.groupBy(*same).agg(F.min("id").alias("head")), same).select("id", "head", "model"), "copies")
+    heads = rows.join(members.filter("id = head").select("id"), "id").select(F.col("id").alias("head"), "model", "v")
+    codes = written(heads.select("head", "model", "v").mapInArrow(_codes, "head long, model long, first binary, second binary, step float, error float, rest float"), "codes")
+    sizes = codes.groupBy("model").agg(F.ceil(F.count("*") / query_block).cast("int").alias("nq"), F.ceil(F.count("*") / base_block).cast("int").alias("nb"))
+    about = sizes.agg(F.count("*").alias("models"), F.coalesce(F.sum(F.col("nq").cast("long") * F.col("nb")), F.lit(1)).alias("tiles")).first()
+    blocks = checked_join(codes, sizes, "model", rows=about["models"])
+    mix = lambda seed, n: F.pmod(F.xxhash64("head", F.lit(seed)), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    as_query = blocks.select(*codes.columns, F.lit(True).alias("query"), mix(1, "nq").alias("i"), upto("nb").alias("j"))
+    as_base = blocks.select(*codes.columns, F.lit(False).alias("query"), upto("nq").alias("i"), mix(2, "nb").alias("j"))
+    # by tile and explicitly: after a join that shuffled by model, all tiles of a model would stay in one task
+    cells = as_query.unionByName(as_base).repartition(min(MOST_PARTITIONS, PARTITIONS_A_TILE * about["tiles"]), "model", "i", "j")
 
     def tile(key, table):
         query = table["query"].to_numpy(zero_copy_only=False).astype(bool)
-        ids, unit = table["head"].to_numpy(), unit_rows(table["v"])
-        found = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        ids, coded = table["head"].to_numpy(), _decoded(table, dimensions)
+        found = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0)]
         if query.any() and not query.all():
-            found = list(tile_neighbours(ids[query], unit[query], ids[~query], unit[~query], k, decimals))
+            found = list(tile_neighbours(ids[query], Codes(*(c[query] for c in coded)), ids[~query], Codes(*(c[~query] for c in coded)), k, decimals))
             found[0] = ids[query][found[0]]
-        return pa.table({"head": found[0], "other": found[1], "cosine": found[2]})
-
-    near = cells.groupBy("model", "i", "j").applyInArrow(tile, "head long, other long, cosine double")
+        return pa.table({"head": found[0], "other": found[1], "cosine": found[2], "wrong": found[3]})
+
+    near = cells.groupBy("model", "i", "j").applyInArrow(tile, "head long, other long, cosine double, wrong double")
+    # the same rule over all tiles of a query
+    low = Window.partitionBy("head").orderBy(F.desc(F.col("cosine") - F.col("wrong"))).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    kth = F.nth_value(F.col("cosine") - F.col("wrong"), k).over(low)
+    near = near.withColumn("kth", kth).filter(F.col("kth").isNull() | (F.col("cosine") + F.col("wrong") >= F.col("kth") - 10.0**-decimals - 1e-8))
+    # of the few pairs that are left the floats, each pair once whoever asked for it
+    a, b = F.least("head", "other"), F.greatest("head", "other")
+    pairs = near.select(a.alias("a"), b.alias("b"), (F.col("head") == a).alias("for_a")).groupBy("a", "b").agg(F.bool_or("for_a").alias("for_a"), F.bool_or(~F.col("for_a")).alias("for_b"))
+    floats = heads.select("head", "v")
+    pairs = pairs.join(floats.select(F.col("head").alias("a"), F.col("v").alias("va")), "a").join(floats.select(F.col("head").alias("b"), F.col("v").alias("vb")), "b")
+    pairs = pairs.select("a", "b", "for_a", "for_b", _cosine(decimals)("va", "vb").alias("cosine"))
+    both = F.array(F.when(F.col("for_a"), F.struct(F.col("a").alias("head"), F.col("b").alias("other"))), F.when(F.col("for_b"), F.struct(F.col("b").alias("head"), F.col("a").alias("other"))))
+    near = pairs.select(F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x"), "cosine").select("x.head", "x.other", "cosine")
     # copies: the head's own copies are neighbours at cosine 1, and every neighbour stands for up to k + 1 ids
-    found = near.groupBy("head").agg(F.collect_list(F.struct("other", "cosine")).alias("near"))  # k a tile
+    few = members.withColumn("place", F.row_number().over(Window.partitionBy("head").orderBy("id"))).filter(F.col("place") <= k + 1)
     copies = few.groupBy("head").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # k + 1 at most
-    one = F.expr("array(struct(head as other, 1.0D as cosine))")
-    lists = heads.select("head").join(found, "head", "left").select("head", F.explode(F.concat(one, F.coalesce(F.col("near"), F.expr("cast(array() as array<struct<other:bigint,cosine:double>>)")))).alias("n"))
-    lists = lists.select("head", F.col("n.other").alias("other"), F.col("n.cosine").alias("cosine"))
-    lists = lists.join(copies.select(F.col("head").alias("other"), "ids"), "other").groupBy("head").agg(F.collect_list(F.struct("cosine", "ids")).alias("lists"))
+    own = members.filter("id = head").select("head", F.col("head").alias("other"), F.lit(1.0).alias("cosine"))
+    lists = near.unionByName(own).join(copies.withColumnRenamed("head", "other"), "other").groupBy("head").agg(F.collect_list(F.struct("cosine", "ids")).alias("lists"))
     merged = lists.select("head", best_of_lists(k + 1)("lists").alias("best"))  # one more: a member of the group may be in it itself
-    members = rows.select("id", "model", "v").join(heads, ["model", "v"]).select("id", "head")
     ranked = members.join(merged, "head").select("id", F.expr(f"slice(filter(best, x -> x.id <> id), 1, {k})").alias("best"))
     return ranked.select("id", F.posexplode("best").alias("rank", "b")).select("id", F.col("b.id").alias("neighbour"), F.col("b.cosine").alias("cosine"), (F.col("rank") + 1).alias("rank"))
 
 
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The float vectors of (head, model, v) as codes."""
+    for batch in batches:
+        if batch.num_rows:
+            c = quantised(unit_rows(batch.column("v")))
+            packed = [pa.array([row.tobytes() for row in codes], pa.binary()) for codes in (c.first, c.second)]
+            numbers = [pa.array(x, pa.float32()) for x in (c.step, c.error, c.rest)]
+            yield pa.RecordBatch.from_arrays([batch.column("head"), batch.column("model"), *packed, *numbers], ["head", "model", "first", "second", "step", "error", "rest"])
+
+
+def _decoded(table: pa.Table, dimensions: int) -> Codes:
+    codes = (np.frombuffer(b"".join(table[c].to_pylist()), np.int8).reshape(-1, dimensions) for c in ("first", "second"))
+    return Codes(*codes, *(table[c].to_numpy() for c in ("step", "error", "rest")))
+
+
+def _cosine(decimals: int):
+    """UDF of the cosines of two columns of vectors in double precision, rounded."""
+
+    def cosine(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(np.round(np.einsum("nd,nd->n", unit_rows(a), unit_rows(b)), decimals) + 0.0 if len(a) else np.empty(0))
+
+    return arrow_udf(cosine, T.DoubleType())
+
+
 def best_of_lists(k: int):
     """UDF that merges lists of (cosine, ids) by a heap: the k best (id, cosine), smaller ids first among equals."""
 

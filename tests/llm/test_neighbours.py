@@ -60,12 +60,30 @@ def test_bounds_hold():
     rng = np.random.default_rng(5)
     v = rng.normal(size=(300, 128))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    c, s, n, e = neighbours.quantised(v)
-    near = (c @ c.T) * s[:, None] * s[None, :]
-    slack = n[:, None] * e[None, :] + e[:, None] * n[None, :] + e[:, None] * e[None, :]
-    assert (np.abs(v @ v.T - near) <= slack + 1e-6).all() and slack.max() < 0.05
-    i, j, cos = neighbours.tile_neighbours(np.arange(300), v, np.arange(300), v, 10, 6)
-    assert len(i) == 3000 and (i != j).all() and cos.max() <= 1
+    c = neighbours.quantised(v)
+    first = c.first * c.step.astype(float)[:, None]
+    both = c.both() * (c.step.astype(float) / neighbours.STEPS)[:, None]
+    for codes, error, most in ((first, c.error, 0.05), (both, c.rest, 2e-4)):
+        n, e = np.linalg.norm(codes, axis=1), error.astype(float)
+        slack = n[:, None] * e[None, :] + e[:, None] * n[None, :] + e[:, None] * e[None, :]
+        assert (np.abs(v @ v.T - codes @ codes.T) <= slack + 1e-9).all() and slack.max() < most
+    i, j, cos, wrong = neighbours.tile_neighbours(np.arange(300), c, np.arange(300), c, 10, 6)
+    assert 3000 <= len(i) < 3100 and (i != j).all() and (np.abs((v @ v.T)[i, j] - cos) <= wrong).all()
+    best = {(a, int(b)) for a in range(300) for b in np.argsort(-(v @ v.T)[a]) if b != a}
+    kept = set(zip(i.tolist(), j.tolist()))
+    assert kept <= best and all((a, int(b)) in kept for a in range(300) for b in np.argsort(-(v @ v.T - 2 * np.eye(300))[a])[:10])
+
+
+def test_tiles_are_spread_whatever_the_joins(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = vectors(260, 1, ("a",))
+        assert found(spark, rows, query_block=16, base_block=40) == brute(rows)
+        plan = neighbours.nearest(spark.createDataFrame(rows, SCHEMA), query_block=16, base_block=40)._jdf.queryExecution().executedPlan().toString()
+        grouped = plan[plan.index("FlatMapGroupsInArrow") :]
+        assert "hashpartitioning(model" in grouped[: grouped.index("Union")] and "REPARTITION_BY_NUM" in grouped[: grouped.index("Union")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_on_the_given_table(spark, sf_dir):
