@@ -24,6 +24,8 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import accumulate
+from operator import sub
 
 import numpy as np
 import pandas as pd
@@ -43,14 +45,17 @@ DOCS_AT_ONCE = 512
 EXACT_AT_ONCE = 4096  # shingles whose items are listed together
 
 _MARKS = re.compile(r"\[\d{1,3}\]|[¹²³⁰-⁹*†‡§]+")
-_HYPHENS = re.compile(r"(?<=\w)[-‐‑­]\s*(?=\w)|­")
+_HYPHENS = re.compile(r"[-‐‑­](?<=\w[-‐‑­])\s*(?=\w)|­")  # the sign first, so that other characters are passed over fast
 _WORDS = re.compile(r"\w+")
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"  # scripts without spaces between words
+_CHARACTERS = re.compile(f"[{_UNSPACED}]|[^\\W{_UNSPACED}]+")
 _COMBINING = re.compile("[\u0300-\u036f]+")
 _DAMAGED = re.compile(r"[ÃÂ][\x80-\xbf©¨ªª´¹§€-™]")
 
 
 def words_of(text: str | None) -> list[str]:
-    """The words that count: no case, accents, punctuation, note marks or hyphens; damaged encoding is repaired."""
+    """The words that count: no case, accents, punctuation, note marks or hyphens; damaged encoding is repaired. In scripts
+    without spaces between words every character is a word."""
     if not text:
         return []
     if _DAMAGED.search(text):
@@ -59,6 +64,8 @@ def words_of(text: str | None) -> list[str]:
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text.replace("\xad", "-"))
         text = _COMBINING.sub("", text)
+        if not text.isascii():
+            return _CHARACTERS.findall(_HYPHENS.sub("", text).lower())
     return _WORDS.findall(_HYPHENS.sub("", text).lower())
 
 
@@ -72,6 +79,11 @@ def _repair(m: re.Match) -> str:
             return m.group()
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 class TestIndex:
     """Items of the test cases with their shingles and MinHash signatures."""
 
@@ -88,8 +100,10 @@ class TestIndex:
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for t in self.texts.values() for w in t}), 1)}
         base = np.int64(len(self.vocabulary) + 1)
         self.weights = np.array([base**2, base, 1], np.int64)
+        self.pair_codes = {k: (c[:-1] * base + c[1:]).tolist() for k, c in ((k, self.codes(t)) for k, t in self.texts.items())}
         in_texts = defaultdict(set)
         coded = {k: self.shingles(self.codes(t)) for k, t in self.texts.items()}
+        self.triple_codes = {k: s.tolist() for k, s in coded.items()}
         for key, s in coded.items():
             for x in s.tolist():
                 in_texts[x].add(self.cases[key][0])  # a text counts once, by its first case, as do both texts of a case
@@ -100,6 +114,7 @@ class TestIndex:
         rng = np.random.default_rng(7)
         self.ranks = np.stack([rng.permutation(len(self.universe)) for _ in range(functions)]).astype(np.int32) if len(self.universe) else np.zeros((functions, 0), np.int32)
         self.ranks[:, ~identifying] = np.iinfo(np.int32).max
+        self.padded = np.concatenate([self.ranks, np.full((functions, 1), np.iinfo(np.int32).max, np.int32)], axis=1)
         self.keys, sets = [], []
         for key, s in coded.items():
             at = np.searchsorted(self.universe, s)
@@ -124,7 +139,7 @@ class TestIndex:
         # of every function, the items by the identifying shingle that is their minimum
         self.buckets = []
         for f in range(functions):
-            ranked = np.append(self.ranks[f], np.iinfo(np.int32).max)[self.items]
+            ranked = self.padded[f][self.items]
             best = self.items[np.arange(len(sets)), ranked.argmin(axis=1)] if sets else np.empty(0, np.int32)
             best = np.where(ranked.min(axis=1) == np.iinfo(np.int32).max, -1, best) if sets else best
             order = np.argsort(best, kind="stable")
@@ -148,6 +163,9 @@ class TestIndex:
         at[at == len(self.universe)] = 0
         found = self.universe[at] == s
         starts = np.arange(0, len(s), BLOCK)
+        # a segment that holds fewer test shingles than an item needs is no candidate for it
+        held = np.add.reduceat(found.astype(np.int32), starts)
+        held = held + np.append(held[1:], 0)
         telling = found & self.identifying[at]
         blocks = np.add.reduceat(telling.astype(np.int32), starts)
         size = blocks + np.append(blocks[1:], 0)
@@ -161,40 +179,44 @@ class TestIndex:
             low = high
             if not len(rows):
                 continue
-            held = u2[rows]
+            holds = u2[rows]
             for f in range(functions):
-                ranks = np.append(self.ranks[f], np.iinfo(np.int32).max)[held]  # -1 reads the last
-                best = held[np.arange(len(rows)), ranks.argmin(axis=1)]
+                ranks = self.padded[f][holds]  # -1 reads the last
+                best = holds[np.arange(len(rows)), ranks.argmin(axis=1)]
                 first, order = self.buckets[f]
                 count = first[best + 1] - first[best]
                 if total := int(count.sum()):
                     offset = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-                    pairs.append(np.repeat(rows, count) * np.int64(len(self.keys)) + order[np.repeat(first[best], count) + offset])
+                    seg, items = np.repeat(rows, count), order[np.repeat(first[best], count) + offset]
+                    enough = held[seg] >= self.need[items]
+                    pairs.append(seg[enough] * np.int64(len(self.keys)) + items[enough])
         first, order = self.exact
-        at_exact = np.flatnonzero(found & (first[at + 1] > first[at]))
+        at_exact = np.flatnonzero(found & (first[at + 1] > first[at]) & (np.maximum(held, np.append(0, held[:-1])) >= self.need.min(initial=1))[np.arange(len(s)) // BLOCK])
         for lo in range(0, len(at_exact), EXACT_AT_ONCE):
             where = at_exact[lo : lo + EXACT_AT_ONCE]
             count = first[at[where] + 1] - first[at[where]]
             offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             items, block = order[np.repeat(first[at[where]], count) + offset], np.repeat(where // BLOCK, count)
             for seg in (block, block - 1):
-                pairs.append(np.unique(seg[seg >= 0] * np.int64(len(self.keys)) + items[seg >= 0]))
+                enough = (seg >= 0) & (held[seg] >= self.need[items])
+                pairs.append(distinct(seg[enough] * np.int64(len(self.keys)) + items[enough]))
         if not pairs:
             return none
-        pairs = np.unique(np.concatenate(pairs))
+        pairs = distinct(np.concatenate(pairs))
         seg, item = pairs // len(self.keys), pairs % len(self.keys)
         # exact containment over all shingles of the item
-        used, seg_at = np.unique(seg, return_inverse=True)
+        used = distinct(seg)
+        seg_at = np.searchsorted(used, seg)
         keep = np.zeros(len(seg), bool)
         full = np.where(found, at, len(self.universe))
         full = np.append(full, np.full(n * BLOCK - len(full), len(self.universe))).reshape(n, BLOCK)
         full = np.concatenate([full, np.concatenate([full[1:], np.full((1, BLOCK), len(self.universe))])], axis=1)
         for lo in range(0, len(used), 1024):
             some = slice(*np.searchsorted(seg_at, [lo, lo + 1024]))  # pairs are sorted by segment
-            held = np.zeros((min(1024, len(used) - lo), len(self.universe) + 1), bool)
-            held[np.arange(len(held))[:, None], full[used[lo : lo + 1024]]] = True
-            held[:, -1] = False
-            inside = held[(seg_at[some] - lo)[:, None], self.items[item[some]]].sum(axis=1)
+            there = np.zeros((min(1024, len(used) - lo), len(self.universe) + 1), bool)
+            there[np.arange(len(there))[:, None], full[used[lo : lo + 1024]]] = True
+            there[:, -1] = False
+            inside = there[(seg_at[some] - lo)[:, None], self.items[item[some]]].sum(axis=1)
             keep[some] = inside >= self.need[item[some]]
         return seg[keep], item[keep]
 
@@ -203,9 +225,25 @@ class TestIndex:
         spans = defaultdict(list)
         for b, i in zip(*(x.tolist() for x in self.candidates(codes)), strict=True):
             spans[self.keys[i]].append(b)
-        return self.verified(words, spans)
+        return self.verified(words, codes, spans)
+
+    def holds_shingles(self, key: tuple[int, bool], part: np.ndarray) -> bool:
+        """Whether ``part`` holds as many pairs and triples of neighbouring words of the text as any run with few enough
+        edits keeps."""
+        n, (cube, base, _) = len(self.texts[key]), self.weights
+        for shingle, mine in ((2, self.pair_codes[key]), (3, self.triple_codes[key])):
+            there = set((part[:-1] * base + part[1:] if shingle == 2 else part[:-2] * cube + part[1:-1] * base + part[2:]).tolist())
+            kept = [0, *accumulate(x in there for x in mine)]
+            if key[1]:
+                if kept[-1] < kept_at_least(n, n // EDITS_IN, shingle):
+                    return False
+            else:
+                width = min(RUN_WORDS, n)  # a run has a part of this width with at most one edit more than the width allows
+                if max(map(sub, kept[width - shingle + 1 :], kept)) < kept_at_least(width, width // EDITS_IN + 1, shingle):
+                    return False
+        return True
 
-    def verified(self, words: list[str], spans: dict) -> set[int]:
+    def verified(self, words: list[str], codes: np.ndarray, spans: dict) -> set[int]:
         out = set()
         for key, blocks in spans.items():
             if out.issuperset(self.cases[key]):
@@ -215,13 +253,19 @@ class TestIndex:
             blocks = sorted(set(blocks))
             groups = np.split(np.array(blocks), np.flatnonzero(np.diff(blocks) > 1) + 1)
             for g in groups:
-                part = words[max(0, int(g[0]) * BLOCK - margin) : (int(g[-1]) + 2) * BLOCK + margin]
-                if holds_run(text, part, len(text) if is_question else min(RUN_WORDS, len(text)), is_question):
+                cut = slice(max(0, int(g[0]) * BLOCK - margin), (int(g[-1]) + 2) * BLOCK + margin)
+                part = words[cut]
+                if self.holds_shingles(key, codes[cut]) and holds_run(text, part, len(text) if is_question else min(RUN_WORDS, len(text)), is_question):
                     out.update(self.cases[key])
                     break
         return out
 
 
+def kept_at_least(width: int, edits: int, shingle: int) -> int:
+    """Shingles of neighbouring words that a run of ``width`` words keeps at least, as an edit breaks ``shingle`` of them."""
+    return width - shingle + 1 - shingle * edits
+
+
 def holds_run(text: list[str], part: list[str], least: int, whole: bool) -> bool:
     """Whether ``part`` holds, in order, ``least`` or more consecutive words of ``text`` (all, if ``whole``) with at most
     one edit in eight words."""
@@ -289,5 +333,5 @@ def search_some(index: TestIndex, pdf: pd.DataFrame) -> pd.DataFrame:
     for d, b, i in zip((np.searchsorted(first, seg, "right") - 1).tolist(), seg.tolist(), item.tolist(), strict=True):
         spans[d][index.keys[i]].append(b - int(first[d]))
     ids = pdf["doc_id"].tolist()
-    rows = [(ids[d], case) for d, s in spans.items() for case in sorted(index.verified(words[d], s))]
+    rows = [(ids[d], case) for d, s in spans.items() for case in sorted(index.verified(words[d], parts[d], s))]
     return pd.DataFrame(rows, columns=["doc_id", "case_id"])

@@ -102,3 +102,13 @@ def test_passages_and_templates_that_many_cases_share(spark, cases):
     docs = [(1, " ".join(text(rng, 200)) + " " + shared, None, None), (2, " ".join(text(rng, 90) + stem), None, None), (3, two[0][1], None, None), (4, two[1][1], None, None)]
     want = {(1, 300 + i) for i in range(6)} | {(2, 400 + i) for i in range(6)} | {(3, 500), (4, 500)}
     assert found(spark, docs, [*cases, *same, *stems, *two]) == want
+
+
+def test_text_without_spaces_and_one_passage_in_many_cases(spark):
+    han = "".join(chr(0x4E00 + 37 * i) for i in range(60))
+    many = [(10 + i, " ".join(f"shared{j}" for j in range(60)), f"what about {i} here and there then and now word{i}") for i in range(50)]
+    rows = [(1, "前" + han[10:45] + "後"), (2, "so " + many[0][1] + " it went"), (3, "".join(reversed(han)))]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    tests = spark.createDataFrame([(1, han, None), *many], "case_id long, passage string, question string")
+    got = {tuple(r) for r in leaks.find_leaks(documents, tests).collect()}
+    assert got == {(1, 1)} | {(2, 10 + i) for i in range(50)}
