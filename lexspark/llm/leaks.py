@@ -48,6 +48,7 @@ _MARKS = re.compile(r"\[\d{1,3}\]|[¹²³⁰-⁹*†‡§]+")
 _HYPHENS = re.compile(r"[-‐‑­](?<=\w[-‐‑­])\s*(?=\w)|­")  # the sign first, so that other characters are passed over fast
 _WORDS = re.compile(r"\w+")
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"  # scripts without spaces between words
+_UNSPACED_CHARACTER = re.compile(f"[{_UNSPACED}]")
 _CHARACTERS = re.compile(f"[{_UNSPACED}]|[^\\W{_UNSPACED}]+")
 _COMBINING = re.compile("[\u0300-\u036f]+")
 _DAMAGED = re.compile(r"[ÃÂ][\x80-\xbf©¨ªª´¹§€-™]")
@@ -64,7 +65,7 @@ def words_of(text: str | None) -> list[str]:
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text.replace("\xad", "-"))
         text = _COMBINING.sub("", text)
-        if not text.isascii():
+        if _UNSPACED_CHARACTER.search(text):
             return _CHARACTERS.findall(_HYPHENS.sub("", text).lower())
     return _WORDS.findall(_HYPHENS.sub("", text).lower())
 
