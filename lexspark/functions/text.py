@@ -52,7 +52,7 @@ def indexed_text(section: Column, subsection: Column, part: Column, heading: Col
 
 def subsection_order(subsection: Column) -> Column:
     """0 for none, the number, 999 for what is no number."""
-    return F.when(F.coalesce(subsection, F.lit("")) == "", 0).otherwise(F.coalesce(F.expr(f"try_cast({subsection._jc.toString()} as int)"), F.lit(999))).cast("int")
+    return F.when(F.coalesce(subsection, F.lit("")) == "", 0).otherwise(F.coalesce(subsection.try_cast("int"), F.lit(999))).cast("int")
 
 
 def is_heading(text: Column) -> Column:
@@ -94,7 +94,7 @@ def cited_provisions(answer: Column) -> Column:
 
 def value_key(*columns: str) -> Column:
     """Identity of a row by value: equal rows share it, nulls count as values."""
-    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    return F.sha2(F.concat_ws("\u0000", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0001")) for c in columns)), 256)
 
 
 def target_label(citation_col: Column, term: Column) -> Column:

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions.text import tokenize
+from lexspark.session import BROADCAST_ROWS, checked_join
 
 K1, B = 1.5, 0.75
 #: Scores equal by construction differ in the last bits with the order of summation; ranking looks at so many decimals.
 DECIMALS = 9
+#: Parts of the postings of one term where there are too many question terms to broadcast.
+SALTS = 16
 
 
 def term_counts(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -45,7 +48,11 @@ def build_postings(texts: DataFrame, keys: list[str], text: str = "text", k1: fl
 def scores(queries: DataFrame, postings: DataFrame, query_key: str, keys: list[str], question: str = "question") -> DataFrame:
     """(query_key, keys, score); a term that a query repeats counts as often, a term without postings not at all."""
     terms = queries.select(query_key, F.explode(tokenize(F.col(question))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
-    hits = postings.join(terms, "term")
+    if (n := terms.count()) <= BROADCAST_ROWS:
+        hits = checked_join(postings, terms, "term", rows=n)
+    else:  # the postings of a common word are split, so that no task holds them all
+        salted = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = postings.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
     return hits.groupBy(query_key, *keys).agg(F.sum(F.col("impact") * F.col("qtf")).alias("score"))
 
 

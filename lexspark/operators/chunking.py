@@ -20,15 +20,13 @@ def merge_page_breaks(paragraphs: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("doc_id").orderBy("para_seq")
     fits = ~F.lag("text").over(order).rlike(r"[.;:!?]\z") & F.col("text").rlike(r"^\p{Ll}") & ~F.col("text").rlike(T.ITEM) & ~F.col("text").rlike(T.SUBSECTION)
-    step = F.coalesce(F.col("page") - F.lag("page").over(order), F.lit(-1))  # a list of steps leaves nulls out
+    step = F.coalesce(F.col("page") - F.lag("page").over(order), F.lit(-1))
     rows = paragraphs.withColumns({"fits": F.coalesce(fits, F.lit(False)), "step": step})
-    # whether a paragraph was joined decides about the next one: one bit of state, folded over runs that fit
+    # whether a paragraph was joined decides about the next one: a step of no page keeps that bit, a step of one flips it
     rows = rows.withColumn("run", F.sum(F.when(F.col("fits") & F.col("step").isin(0, 1), 0).otherwise(1)).over(order))
     run = Window.partitionBy("doc_id", "run").orderBy("para_seq")
-    steps = F.collect_list("step").over(run.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("steps", F.when(F.row_number().over(run) == 1, F.array().cast("array<int>")).otherwise(F.slice(steps, 2, F.size(steps))))
-    joined = F.aggregate("steps", F.lit(False), lambda was, s: F.when((s == 1) & ~was, True).when((s == 0) & was, True).otherwise(False))
-    rows = rows.withColumn("joined", (F.size("steps") > 0) & joined)
+    within = F.when(F.row_number().over(run) == 1, 0).otherwise(F.col("step"))
+    rows = rows.withColumn("within", within).withColumn("joined", F.sum("within").over(run) % 2 == 1)
     rows = rows.withColumn("part", F.sum(F.when(F.col("joined"), 0).otherwise(1)).over(order))
     texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("para_seq", "text"))), lambda x: x["text"]), " ")
     first = F.min(F.struct("para_seq", "page", "block"))

@@ -70,7 +70,7 @@ def front_matter(lines: DataFrame, number_share: float = TOC_NUMBER_SHARE, fract
 
 def joined_lines(texts: str, vocabulary: str) -> Column:
     """The lines of column ``texts`` joined into one text: a word cut by a hyphen loses it, unless the vocabulary has the compound."""
-    t = r"regexp_replace(x, r'(?U)^\s+|\s+$', '')"
+    t = r"regexp_replace(coalesce(x, ''), r'(?U)^\s+|\s+$', '')"
     compound = rf"lower(concat(regexp_extract(acc, r'(\S*)\z', 1), element_at(split({t}, ' '), 1)))"
     return F.expr(
         f"aggregate({texts}, '', (acc, x) -> CASE WHEN {t} = '' THEN acc WHEN acc = '' THEN {t} "

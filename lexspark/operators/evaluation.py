@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
@@ -46,8 +46,11 @@ def misses(metrics: DataFrame, retrieved: DataFrame, k: int = max(K_VALUES), sho
 
 def support_distribution(scores: DataFrame, group: str = "grp", score: str = "support") -> DataFrame:
     """(group, n, min_s, upper_median_s, max_s); the upper median is an order statistic, no interpolation."""
-    values = F.sort_array(F.collect_list(score))
-    return scores.groupBy(group).agg(F.count("*").alias("n"), F.min(score).alias("min_s"), F.element_at(values, (F.floor(F.count("*") / 2) + 1).cast("int")).alias("upper_median_s"), F.max(score).alias("max_s"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(score))
+    n = F.count("*").over(Window.partitionBy(group))
+    rows = scores.select(group, score, place.alias("place"), n.alias("n"))
+    middle = F.max(F.when(F.col("place") == F.floor(F.col("n") / 2) + 1, F.col(score)))
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.min(score).alias("min_s"), middle.alias("upper_median_s"), F.max(score).alias("max_s"))
 
 
 def separation(distribution: DataFrame, answerable: str, negative: str, group: str = "grp") -> DataFrame:
@@ -64,13 +67,26 @@ def report(summary: DataFrame, k_values: tuple[int, ...] = K_VALUES) -> str:
 
 
 def flatten_expectations(cases: DataFrame, case_key: str = "case_id") -> DataFrame:
-    """(case_key, exp_no, citation, term) of cases whose ``expected`` is an array of targets or of ``any_of`` alternatives."""
+    """(case_key, exp_no, target_no, citation, term) of cases whose ``expected`` is an array of targets or of ``any_of`` alternatives."""
     rows = cases.select(case_key, F.posexplode("expected").alias("exp_no", "e"))
     single = F.array(F.struct(F.col("e.citation").alias("citation"), F.col("e.term").alias("term")))
-    return rows.select(case_key, "exp_no", F.explode(F.coalesce("e.any_of", single)).alias("t")).select(case_key, "exp_no", "t.citation", "t.term")
+    return rows.select(case_key, "exp_no", F.posexplode(F.coalesce("e.any_of", single)).alias("target_no", "t")).select(case_key, "exp_no", "target_no", "t.citation", "t.term")
+
+
+def shared_values(one: DataFrame, other: DataFrame, column: str = "question") -> DataFrame:
+    """(column): the values in both sets, each once; answerable questions and negatives should share none."""
+    return one.select(column).intersect(other.select(column))
 
 
 def describe_expectations(flat: DataFrame, case_key: str = "case_id") -> DataFrame:
     """(case_key, exp_no, wanted): the alternatives of every expectation joined by ``or``."""
-    labels = F.sort_array(F.collect_list(T.target_label(F.col("citation"), F.col("term"))))
+    target = F.struct("target_no", T.target_label(F.col("citation"), F.col("term")).alias("label"))
+    labels = F.transform(F.sort_array(F.collect_list(target)), lambda x: x["label"])
     return flat.groupBy(case_key, "exp_no").agg(F.array_join(labels, " or ").alias("wanted"))
+
+
+def miss_report(metrics: DataFrame, retrieved: DataFrame, flat: DataFrame, k: int = max(K_VALUES), case_key: str = "case_id") -> DataFrame:
+    """The misses with what was wanted: (case_key, wanted, rk, citation, label); expectations in their order, joined by ``; ``."""
+    wanted = F.transform(F.sort_array(F.collect_list(F.struct("exp_no", "wanted"))), lambda x: x["wanted"])
+    by_case = describe_expectations(flat, case_key).groupBy(case_key).agg(F.array_join(wanted, "; ").alias("wanted"))
+    return misses(metrics, retrieved, k, case_key=case_key).join(by_case, case_key, "left").select(case_key, "wanted", "rk", "citation", "label")

@@ -26,15 +26,29 @@ def parse_citation_queries(questions: DataFrame, query_key: str, question: str =
     return questions.select(query_key, T.queried_section(q).alias("section"), T.queried_subsection(q).alias("subsection")).filter("section is not null")
 
 
-def structured_lookup(parsed: DataFrame, chunks: DataFrame, query_key: str, keys: list[str]) -> DataFrame:
+def structured_lookup(parsed: DataFrame, chunks: DataFrame, query_key: str, keys: list[str], k: int | None = None) -> DataFrame:
     """(query_key, keys, rk): the chunks of the section a question names, the named subsection first, no schedule items.
 
-    A chunk without part is no schedule item, hence the null-safe comparison.
+    A chunk without part is no schedule item, hence the null-safe comparison. With ``k`` only the first k come out, and a
+    section brings no more than its k first chunks and the k first of the named subsection to a question.
     """
-    hits = parsed.withColumnRenamed("subsection", "named").join(chunks.filter(~F.col("part").eqNullSafe(T.SCHEDULE)), "section")
+    held = chunks.filter(~F.col("part").eqNullSafe(T.SCHEDULE)).select("section", "subsection", *keys)
+    asked = parsed.withColumnRenamed("subsection", "named")
+    hits = asked.join(held, "section") if k is None else _first_of_sections(asked, held, query_key, keys, k)
     mine = F.when(F.col("named").isNull() | F.col("subsection").eqNullSafe(F.col("named")), 0).otherwise(1)
     order = Window.partitionBy(query_key).orderBy(mine, T.subsection_order(F.col("subsection")), *keys)
-    return hits.select(query_key, *keys, F.row_number().over(order).alias("rk"))
+    ranked = hits.select(query_key, *keys, F.row_number().over(order).alias("rk"))
+    return ranked if k is None else ranked.filter(F.col("rk") <= k)
+
+
+def _first_of_sections(asked: DataFrame, held: DataFrame, query_key: str, keys: list[str], k: int) -> DataFrame:
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(T.subsection_order(F.col("subsection")), *keys))
+    general = held.withColumn("place", first("section")).filter(F.col("place") <= k).drop("place")
+    exact = held.withColumn("place", first("section", "subsection")).filter(F.col("place") <= k).drop("place")
+    same = [F.col("a.section") == F.col("e.section"), F.col("a.named") == F.col("e.subsection")]
+    named = asked.alias("a").join(exact.alias("e"), same).select("a.*", "e.subsection", *(F.col(f"e.{x}") for x in keys))
+    columns = [query_key, "section", "named", "subsection", *keys]
+    return asked.join(general, "section").select(columns).unionByName(named.select(columns)).distinct()
 
 
 def hybrid(structured: DataFrame, fused: DataFrame, query_key: str, key: str, k: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.operators.bm25 import top_k
+from lexspark.operators.bm25 import DECIMALS, top_k
 
 FLOOR = 1e-12
 #: Queries that one pass over the vectors answers; more queries take more passes.
@@ -40,9 +40,10 @@ def cosines(queries: DataFrame, base: DataFrame, query_key: str, key: str, k: in
     """
     n = queries.count()
     out, passes = None, max(1, -(-n // per_pass))
+    kind = queries.schema[query_key].dataType.simpleString(), base.schema[key].dataType.simpleString()
     for p in range(passes):
         some = queries.filter(F.pmod(F.xxhash64(query_key), F.lit(passes)) == p).orderBy(query_key).collect()
-        ids = np.array([r[query_key] for r in some], dtype=np.int64)
+        ids = np.array([r[query_key] for r in some], dtype=object)
         matrix = np.array([r["v"] for r in some], dtype=np.float64).reshape(len(some), -1)
 
         def multiply(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, matrix: np.ndarray = matrix) -> Iterator[pd.DataFrame]:
@@ -50,13 +51,18 @@ def cosines(queries: DataFrame, base: DataFrame, query_key: str, key: str, k: in
                 pdf = pdf[[len(v) == matrix.shape[1] for v in pdf["v"]]] if len(ids) else pdf.iloc[:0]
                 if not len(pdf):
                     continue
+                pdf = pdf.sort_values(key)
                 keys, product = pdf[key].to_numpy(), matrix @ np.stack(pdf["v"].to_numpy()).T
-                best = np.argsort(-product, axis=1, kind="stable")
-                kth = np.take_along_axis(product, best[:, [min(k, len(keys)) - 1]], axis=1)
-                q, b = np.nonzero(product >= kth - 1e-9)  # ties of the k-th stay in
-                yield pd.DataFrame({query_key: ids[q], key: keys[b], "score": product[q, b]})
-
-        one = base.select(key, "v").mapInPandas(multiply, f"{query_key} long, {key} long, score double")
+                at = max(0, len(keys) - k)
+                kth = np.partition(product, at, axis=1)[:, [at]]
+                q, b = np.nonzero(product >= kth - 10.0**-DECIMALS)
+                score = np.round(product[q, b], DECIMALS)  # as they are ranked, so that of many ties only k are needed
+                order = np.lexsort((b, -score, q))
+                q, b, score = q[order], b[order], score[order]
+                first = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+                yield pd.DataFrame({query_key: ids[q[first]], key: keys[b[first]], "score": score[first]})
+
+        one = base.select(key, "v").mapInPandas(multiply, f"{query_key} {kind[0]}, {key} {kind[1]}, score double")
         out = one if out is None else out.unionByName(one)
     return out
 

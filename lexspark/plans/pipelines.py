@@ -11,6 +11,7 @@ from lexspark import providers
 from lexspark.functions import text as T
 from lexspark.operators import bm25, chunking, cleanup, evaluation, fusion, grounding, layout, vector
 from lexspark.session import written
+from lexspark.sources import tables
 
 
 def column_paragraphs(lines: DataFrame, pages: DataFrame, side: str = "left") -> tuple[DataFrame, DataFrame]:
@@ -57,7 +58,7 @@ def retrieve(questions: DataFrame, keyed: DataFrame, semantic: DataFrame | None,
         ranking = near.unionByName(ranking)
     fused = fusion.reciprocal_rank_fusion(ranking, query_key, "chunk_key")
     parsed = fusion.parse_citation_queries(questions, query_key)
-    first = fusion.structured_lookup(parsed if structured else parsed.limit(0), keyed, query_key, ["chunk_key"])
+    first = fusion.structured_lookup(parsed if structured else parsed.limit(0), keyed, query_key, ["chunk_key"], k)
     return fusion.hybrid(first, fused, query_key, "chunk_key", k)
 
 
@@ -74,7 +75,12 @@ def evaluate(cases: DataFrame, expected: DataFrame, retrieved: DataFrame, k_valu
     return evaluation.summarise(evaluation.case_metrics(cases, evaluation.expectation_ranks(expected, retrieved), k_values), k_values)
 
 
-def nearest_chunks(questions: DataFrame, chunks: DataFrame, query_key: str, k: int = fusion.CANDIDATE_DEPTH) -> DataFrame:
-    """Ranking (query_key, chunk_no, rank) of chunks (chunk_no, embedding) for questions (query_key, embedding)."""
-    near = vector.nearest(vector.unit_vectors(questions, query_key, "embedding"), vector.unit_vectors(chunks, "chunk_no", "embedding"), query_key, "chunk_no", k)
-    return near.withColumnRenamed("rk", "rank")
+def nearest_chunks(questions: DataFrame, keyed: DataFrame, query_key: str, k: int = fusion.CANDIDATE_DEPTH) -> DataFrame:
+    """Ranking (query_key, chunk_key, rank) of chunks (chunk_key, embedding) for questions (query_key, embedding)."""
+    near = vector.nearest(vector.unit_vectors(questions, query_key, "embedding"), vector.unit_vectors(keyed, "chunk_key", "embedding"), query_key, "chunk_key", k)
+    return near.select(query_key, "chunk_key", F.col("rk").alias("rank"))
+
+
+def cached_nearest_chunks(questions: DataFrame, keyed: DataFrame, cache: DataFrame, model: str, query_key: str, k: int = fusion.CANDIDATE_DEPTH) -> DataFrame:
+    """The same with the vectors of the questions from the cache; raises KeyError if any has none."""
+    return nearest_chunks(tables.cached_vectors(questions, cache, model), keyed, query_key, k)

@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.functions.text import TOKEN
+from lexspark.functions.text import TOKEN, tokenize
 
 BATCH = 100
 
@@ -32,6 +32,14 @@ def hashing_embedder(dimensions: int = 128) -> Callable[[list[str]], np.ndarray]
     return embed
 
 
+def counting_embedder(text: Column, dimensions: int = 64) -> Column:
+    """Counts of tokens by first letter, last letter and length: a stand-in that needs no Python and that SQL can express."""
+    place = lambda t: F.pmod(F.ascii(t) * 31 + F.ascii(F.right(t, F.lit(1))) * 7 + F.length(t), F.lit(dimensions))
+    places = F.transform(tokenize(text), place)
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), dimensions)
+    return F.aggregate(places, zeros, lambda counts, p: F.transform(counts, lambda n, i: F.when(i == p, n + F.lit(1.0).cast("float")).otherwise(n)))
+
+
 def embed_column(rows: DataFrame, text: str, embed: Callable[[list[str]], np.ndarray], batch: int = BATCH, name: str = "embedding") -> DataFrame:
     """Adds the vectors of ``text``; ``embed`` sees at most ``batch`` texts a call, and vectors stay with their rows."""
 

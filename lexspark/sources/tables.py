@@ -12,20 +12,28 @@ from pyspark.sql import functions as F
 TARGET = "citation STRING, term STRING"
 EVAL_SCHEMA = f"cases ARRAY<STRUCT<question: STRING, category: STRING, expected: ARRAY<STRUCT<citation: STRING, term: STRING, any_of: ARRAY<STRUCT<{TARGET.replace(' STRING', ': STRING')}>>>>>>"
 NEGATIVE_SCHEMA = "cases ARRAY<STRUCT<question: STRING, difficulty: STRING, why: STRING>>"
-LINE_SCHEMA = "path string, seq long, page int, block int, x0 double, y0 double, x1 double, text string"
+LINE_SCHEMA = "path string, seq long, page int, block int, x0 double, y0 double, x1 double, text string, page_width double, page_height double"
 
 
 def read_documents(spark: SparkSession, path: str, parser: Callable[[bytes], list[tuple]]) -> DataFrame:
-    """Positioned lines of binary files; ``parser`` gives (page, block, x0, y0, x1, text) of one file's bytes in order."""
+    """(doc_id, path, …) of the positioned lines of binary files.
+
+    ``parser`` gives (page, block, x0, y0, x1, text), or those with (page_width, page_height), of one file's bytes in order.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = [(name, i, *line[:5], line[5].strip()) for i, line in enumerate(parser(bytes(content))) if line[5].strip()]
-                yield pd.DataFrame(rows, columns=["path", "seq", "page", "block", "x0", "y0", "x1", "text"])
+                rows = [(name, i, *line[:5], line[5].strip(), *(line[6:8] or (None, None))) for i, line in enumerate(parser(bytes(content))) if line[5].strip()]
+                yield pd.DataFrame(rows, columns=["path", "seq", "page", "block", "x0", "y0", "x1", "text", "page_width", "page_height"])
+
+    return files.mapInPandas(parse, LINE_SCHEMA).withColumn("doc_id", F.xxhash64("path"))
 
-    return files.mapInPandas(parse, LINE_SCHEMA)
+
+def page_sizes(lines: DataFrame) -> DataFrame:
+    """(doc_id, page_width, page_height) of parsed lines, as layout and cleanup want them."""
+    return lines.groupBy("doc_id").agg(F.max("page_width").alias("page_width"), F.max("page_height").alias("page_height"))
 
 
 def read_eval_set(spark: SparkSession, path: str) -> DataFrame:
@@ -79,10 +87,29 @@ def cached_vectors(questions: DataFrame, cache: DataFrame, model: str) -> DataFr
     return questions.join(mine, "question")
 
 
-def warm_query_cache(questions: DataFrame, cache: DataFrame, model: str, embed: Callable[[DataFrame], DataFrame], path: str) -> str:
-    """Write the cache with the missing questions embedded, in a new folder beside the one that is read; returns it."""
+def warm_query_cache(questions: DataFrame, cache: DataFrame, model: str, embed: Callable[[DataFrame], DataFrame], path: str) -> str | None:
+    """Embed the missing questions and write their vectors to a new part below ``path``, beside the others; returns the part.
+
+    Nothing is embedded or written where none is missing; the result is then None. ``query_cache`` reads all parts.
+    """
     missing = missing_questions(questions.select("question").distinct(), cache, model)
-    new = embed(missing).select(F.lit(model).alias("model"), "question", "embedding")
-    where = f"{path}/{uuid.uuid4().hex}"
-    cache.select("model", "question", "embedding").unionByName(new).write.parquet(where)
+    if missing.isEmpty():
+        return None
+    where = f"{path}/part={uuid.uuid4().hex}"
+    embed(missing).select(F.lit(model).alias("model"), "question", "embedding").write.parquet(where)
     return where
+
+
+def query_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(model, question, embedding) of all parts below ``path``."""
+    return spark.read.option("basePath", path).parquet(f"{path}/part=*").select("model", "question", "embedding")
+
+
+def embedded_index(chunks: DataFrame, path: str, model: str, keys: list[str], embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The chunks with their vectors: read where an index of this content is held, else embedded and saved."""
+    mark = fingerprint(chunks, model, keys).first()["fingerprint"]
+    held = load_index(chunks.sparkSession, path, mark)
+    if held is None:
+        embed(chunks).write.mode("overwrite").parquet(f"{path}/{mark}")
+        held = load_index(chunks.sparkSession, path, mark)
+    return held

@@ -25,6 +25,24 @@ def test_bm25_scores(spark):
     assert ask(spark, "unknown", "x") == [] and ask(spark, "", "x") == [] and ask(spark, "x") == []
 
 
+def test_bm25_with_more_terms_than_are_broadcast(spark, monkeypatch):
+    base = bm25.build_postings(texts(spark, "x y", "x", "z"), ["id"])
+    q = spark.createDataFrame([(7, "x y x"), (8, "z")], "query_id long, question string")
+    get = lambda: sorted((r["query_id"], r["id"], r["score"], r["rk"]) for r in bm25.search(q, base, "query_id", ["id"]).collect())
+    want = get()
+    monkeypatch.setattr(bm25, "BROADCAST_ROWS", 0)
+    assert get() == want and len(want) == 3
+
+
+def test_a_zero_query_brings_k_rows_and_keys_may_be_strings(spark):
+    base = spark.createDataFrame([(f"c{i:03d}", [float(i % 3), 1.0]) for i in range(300)], "key string, v array<double>")
+    q = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "qid long, v array<double>")
+    raw = vector.cosines(q, base.coalesce(1), "qid", "key", 4)
+    assert raw.filter("qid = 1").count() == 4
+    got = vector.nearest(q, base, "qid", "key", 4).orderBy("qid", "rk").collect()
+    assert [r["key"] for r in got] == ["c000", "c001", "c002", "c003", "c002", "c005", "c008", "c011"]
+
+
 def test_bm25_ties_go_by_position_and_k_cuts(spark):
     assert [i for i, _ in ask(spark, "x", "x", "x", "x", k=2)] == [0, 1]
 
@@ -61,6 +79,16 @@ def test_structured_lookup_keeps_null_parts_and_puts_the_named_first(spark):
     assert got == {1: [2, 4, 1, 6], 2: [1, 2, 4, 6]}
 
 
+def test_structured_lookup_cut_at_k_equals_its_first_rows(spark):
+    rows = [(i, "24", [None, "1", "2", "x"][i % 4], None, "t") for i in range(40)]
+    chunks = spark.createDataFrame(rows, "id long, section string, subsection string, part string, text string")
+    parsed = spark.createDataFrame([(1, "24", None), (2, "24", "2"), (3, "24", "9"), (4, "24", "x")], "q long, section string, subsection string")
+    key = lambda df: sorted((r["q"], r["rk"], r["id"]) for r in df.collect())
+    for k in (1, 3, 12, 50):
+        whole = [x for x in key(fusion.structured_lookup(parsed, chunks, "q", ["id"])) if x[1] <= k]
+        assert key(fusion.structured_lookup(parsed, chunks, "q", ["id"], k)) == whole
+
+
 def test_hybrid_prefers_structured_and_keeps_each_once(spark):
     s = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "q long, c string, rk int")
     f = spark.createDataFrame([(1, "y", 1), (1, "z", 2), (2, "z", 1)], "q long, c string, rk int")

@@ -27,6 +27,9 @@ def test_binary_documents(spark, tmp_path):
     parse = lambda data: [(0, 0, 48.0, 10.0 * i, 90.0, t) for i, t in enumerate(data.decode().split("\n"))]
     rows = tables.read_documents(spark, str(tmp_path / "*.bin"), parse).orderBy("seq").collect()
     assert [(r["seq"], r["text"]) for r in rows] == [(0, "one"), (2, "two")]
+    assert rows[0]["page_width"] is None and rows[0]["doc_id"] == rows[1]["doc_id"]
+    sized = tables.read_documents(spark, str(tmp_path / "*.bin"), lambda data: [(*line, 612.0, 792.0) for line in parse(data)])
+    assert tuple(tables.page_sizes(sized).first())[1:] == (612.0, 792.0)
 
 
 def test_index_by_fingerprint(spark, tmp_path):
@@ -47,7 +50,10 @@ def test_query_cache(spark, tmp_path):
     with pytest.raises(KeyError):
         tables.cached_vectors(asked, cache, "m")
     embed = lambda df: providers.embed_column(df, "question", providers.hashing_embedder(4))
-    new = spark.read.parquet(tables.warm_query_cache(asked, cache, "m", embed, str(tmp_path)))
+    part = tables.warm_query_cache(asked, cache, "m", embed, str(tmp_path))
+    assert spark.read.parquet(part).count() == 2  # only what was missing
+    new = tables.query_cache(spark, str(tmp_path)).unionByName(cache)
+    assert tables.warm_query_cache(asked, new, "m", lambda df: 1 / 0, str(tmp_path)) is None
     assert tables.missing_questions(asked, new, "m").count() == 0 and tables.cached_vectors(asked.filter("question = 'q2'"), new, "m").count() == 2
 
 
