@@ -13,8 +13,7 @@ def p1_found(spark, sf_dir):
 
 
 def p1_cut_documents(spark, sf_dir):
-    lines = table(spark, sf_dir, "lines")
-    return repeats.cut_repeated_lines(lines, repeats.find_repeated_lines(lines, table(spark, sf_dir, "documents_meta")))
+    return repeats.cut_repeated_lines(table(spark, sf_dir, "lines"), table(spark, sf_dir, "documents_meta"))
 
 
 def p2_found(spark, sf_dir):

@@ -68,11 +68,49 @@ def test_found_equals_counting_by_hand(spark):
 
 def test_cut_documents(spark):
     lines, meta = site(spark)
-    out = {r["doc_id"]: r for r in repeats.cut_repeated_lines(lines, repeats.find_repeated_lines(lines, meta)).collect()}
+    out = {r["doc_id"]: r for r in repeats.cut_repeated_lines(lines, meta).collect()}
     assert (out[0]["n_lines"], out[0]["n_cut"], out[0]["text"]) == (4, 2, "body a of its own\nIn two documents only")
     assert out[12]["n_cut"] == 0 and len(out) == 35
 
 
+NOTICE = "This page is general information from the registry and is no legal advice; please ask a lawyer before you rely on any of it in a proceeding, and read the terms of use that are set out below. "
+NOTICE += "Copies of the register are made every night, so a filing of today may be missing here until tomorrow morning; certified copies are issued at the counter of the registry office against payment of the fee that the schedule fixes for them."
+
+
+def wrapped(text, width):
+    out, line = [], ""
+    for w in text.split():
+        if len(line) + len(w) > width:
+            out.append(line)
+            line = ""
+        line = f"{line} {w}".strip()
+    return [*out, line]
+
+
+def test_a_notice_wrapped_at_different_places_is_cut(spark):
+    rows = []
+    for d in range(8):
+        own = [f"{'abcdefgh'[d]}{i} {'stuvwxyz'[d]} the board met {d * 7 + i} persons of {'klmnopqr'[d]}{'hgfedcba'[d]}" for i in range(6)]
+        rows += [(d, i, t, "s1", None) for i, t in enumerate([*own[:3], *wrapped(NOTICE, 30 + 5 * d), *own[3:]])]
+    lines = spark.createDataFrame(rows, LINE)
+    meta = spark.createDataFrame([(d, "s1", "web", None) for d in range(8)], META)
+    assert not [r for r in found(lines, meta) if r[0] == 3]  # no line of it stands in another document
+    for r in repeats.cut_repeated_lines(lines, meta).collect():
+        left = sum(w in r["text"] for w in ("general information", "legal advice", "lawyer", "proceeding", "terms of use"))
+        assert r["n_chars_cut"] > len(NOTICE) / 2 and left <= 3 and r["text"].count("persons") == 6
+    assert repeats.cut_repeated_lines(lines.limit(0), meta).count() == 0
+
+
+def test_passages_map_back_to_their_texts():
+    import numpy as np
+
+    texts = ["Ab, c 12,5 x", "", "é—ö 9th!", "12 12 12"]
+    text, low, high, chunk, length = repeats.passage_chunks(np.array([1, 1, 1, 2]), texts)
+    assert sorted(set(text.tolist())) == [0, 2, 3] and (low < high).all()
+    assert (text[0], low[0]) == (0, 0) and max(high[text == 2]) == 7 and max(high[text == 3]) == 7
+    assert [len(x) for x in repeats.passage_chunks(np.array([]), [])] == [0] * 5
+
+
 def test_empty_tables_and_very_long_lines(spark):
     lines, meta = site(spark)
     assert found(lines.limit(0), meta) == set() and found(lines, meta.limit(0)) == set()
