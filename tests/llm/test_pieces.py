@@ -63,6 +63,28 @@ def test_ranges_give_what_the_whole_text_gives(spark, range_bytes):
     assert got == {i: whole(t) for i, t in enumerate(ts) if len(t) > 1200}
 
 
+@pytest.mark.parametrize("range_bytes", [pieces.RANGE_BYTES, 700, 5000])
+def test_files_are_cut_by_offset(spark, tmp_path, range_bytes):
+    ts = [*texts()[:6], "short", "é" * 900, "one (a) two" + " " * 3000 + "(b) three. " + "word " * 600]
+    for i, t in enumerate(ts):
+        (tmp_path / f"{i}.txt").write_bytes(t.encode())
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "length")
+    got = {}
+    for r in pieces.split_files(files, range_bytes=range_bytes).orderBy("path", "piece_no").collect():
+        got.setdefault(int(r["path"].rsplit("/", 1)[1][:-4]), []).append((r["piece_no"], r["start_pos"], r["end_pos"]))
+    assert got == {i: [(n, *p) for n, p in enumerate(whole(t), 1)] for i, t in enumerate(ts) if len(t) > 1200}
+
+
+def test_white_space_before_a_label_hides_nothing(spark):
+    lead = "He may act under paragraph" + " " * 2000
+    t = "x " * 300 + lead + "(a) of the Act. " + "word " * 400
+    assert t.index("(a)") not in pieces.natural_boundaries(t)
+    df = spark.createDataFrame([(1, 1, t, None, None, 0)], SCHEMA)
+    for range_bytes in (900, 2000, 2600):
+        got = [(r["start_pos"], r["end_pos"]) for r in pieces.split_oversized(df, range_bytes=range_bytes).orderBy("piece_no").collect()]
+        assert got == whole(t)
+
+
 def test_edges(spark):
     rows = [(1, 1, None, "a", "b", 0), (1, 2, "", "a", "b", 0), (1, 3, "x" * 1200, "a", "b", 0), (1, 4, "y" * 1201, "4", None, 0), (1, 4, "y" * 1201, "4", None, 0), (None, 5, "z " * 700, None, "2", 0), (2, 6, "w" * 1_000_000, "9", "1", 0)]
     df = spark.createDataFrame(rows, SCHEMA)
