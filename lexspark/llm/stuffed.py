@@ -3,13 +3,15 @@
 A page is read in units of about a dozen words within its lines. Each unit gets the share of function words of the page's
 language, the share of its content words that are top words of the page or belong to word pairs repeated over it, its
 link text ratio, its density of separators, whether its line is repeated on the page, and whether it is a short line
-numbered or priced like its neighbours, as in a table of contents or a list of fees. The thresholds on the function word
-share are fractions of the upper quartile of all units of the language, which Spark takes over the whole corpus. Units
+numbered or priced like its neighbours, as in a table of contents or a list of fees. The thresholds are calibrated per
+language over the whole corpus: those on the function word share are fractions of the upper quartile of all units, those on
+links and repetition rise where prose itself has more of them. The function words of two languages are listed; those of any
+other language that pages are declared to be in are learned, as the words that most of its pages hold. Units
 without enough function words form blocks; a block counts as stuffed if enough of its text repeats keywords or links,
 and a page is found if stuffed blocks hold more than half of its characters.
 
 Defined results: null, empty and blank texts are never found; the language is told from the text, as the column may be
-wrong or null, and is the first of ``FUNCTION_WORDS`` where no function word occurs; repeated rows count once; an empty
+wrong or null, as the one of which most function words occur (the first of ``FUNCTION_WORDS`` where none does); repeated rows count once; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -18,9 +20,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.session import spread, written
@@ -33,6 +36,10 @@ STRICT, LOOSE = 0.55, 0.73
 REPEATED_SHARE, LINK_SHARE, SEPARATORS_A_WORD, BLOCK_EVIDENCE, PAGE_SHARE = 0.5, 0.3, 0.2, 0.4, 0.5
 PROSE_SHARE = 0.4  # a unit with so many function words is prose in any language, its word pairs are no keywords
 TOP_WORD_SHARE, TOP_WORD_TIMES = 0.02, 3  # of the page's content words outside prose
+#: Learned function words: pages that a declared language needs, the most words of one, and the share of pages that hold each.
+LEARN_PAGES, LEARN_WORDS, LEARN_SHARE = 20, 60, 0.3
+#: Units of prose that may have so much of a measure, which its threshold then exceeds.
+USUAL_QUANTILE = 0.98
 LONG_PAGE_WORDS = 120  # word pairs count as repeated from 3 times on; on shorter pages from 2 times on
 
 # Function words by language, and those that may stand inside a keyword.
@@ -77,14 +84,14 @@ def page_units(text: str) -> list[tuple[str, bool, int]]:
     return out
 
 
-def page_features(text: str | None) -> tuple[str, list[int], list[float], list[float], list[float]]:
+def page_features(text: str | None, known: dict[str, frozenset[str]] = FUNCTION_WORDS) -> tuple[str, list[int], list[float], list[float], list[float]]:
     """Language, and of each unit: characters, share of function words, share in top words and repeated word pairs (0 in
     listed lines, 1 between separators and in repeated lines), link text ratio."""
     units = page_units(text or "")
     words = [_WORD.findall(u.lower()) for u, _, _ in units]
     counts = Counter(w for s in words for w in s)
-    lang = max(FUNCTION_WORDS, key=lambda k: sum(counts[w] for w in FUNCTION_WORDS[k]))
-    function = FUNCTION_WORDS[lang]
+    lang = max(known, key=lambda k: sum(counts[w] for w in known[k]))
+    function = known[lang]
     share = [sum([w in function for w in s]) / len(s) if s else 0.0 for s in words]
     placed = [[] if f >= PROSE_SHARE else _pairs(s, function) for f, s in zip(share, words, strict=True)]
     pairs = Counter(p[0] for here in placed for p in here)
@@ -124,10 +131,19 @@ def _repeated(unit: str, listed: bool, words: list[str], share: float, here: lis
     return len(covered) / content if content else 0.0
 
 
-def stuffed_share(sizes, share, repeated, links, strict: float, loose: float) -> float:
+class Usual(NamedTuple):
+    """What is usual in a language: the share of function words, and thresholds of link text and repetition above that of prose."""
+
+    share: float = 0.0
+    links: float = LINK_SHARE
+    repeated: float = REPEATED_SHARE
+
+
+def stuffed_share(sizes, share, repeated, links, usual: Usual) -> float:
     """The share of the characters that stands in stuffed blocks."""
     stuffed = total = i = 0
-    evidence = [k >= LINK_SHARE or (f < strict and r >= REPEATED_SHARE) for f, r, k in zip(share, repeated, links, strict=True)]
+    strict, loose = STRICT * usual.share, LOOSE * usual.share
+    evidence = [k >= usual.links or (f < strict and r >= usual.repeated) for f, r, k in zip(share, repeated, links, strict=True)]
     inside = [e or f < loose for e, f in zip(evidence, share, strict=True)]
     while i < len(sizes):
         j = i + 1
@@ -142,13 +158,29 @@ def stuffed_share(sizes, share, repeated, links, strict: float, loose: float) ->
     return stuffed / total if total else 0.0
 
 
-def page_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def learned_function_words(documents: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, frozenset[str]]:
+    """The function words of the declared languages that aren't listed: a few dozen words a language come to the driver."""
+    if lang_col not in documents.columns:
+        return {}
+    pages = documents.filter(~F.col(lang_col).isin(*FUNCTION_WORDS) & (F.length(lang_col) > 0)).select(F.lower(lang_col).alias("lang"), F.lower(text_col).alias("text"))
+    words = pages.select("lang", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
+    enough = pages.groupBy("lang").agg(F.count("*").alias("pages")).filter(F.col("pages") >= LEARN_PAGES)
+    held = words.groupBy("lang", "word").agg(F.count("*").alias("n")).join(enough, "lang").filter(F.col("n") >= LEARN_SHARE * F.col("pages"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    out: dict[str, set[str]] = {}
+    for r in held.withColumn("place", place).filter(F.col("place") <= LEARN_WORDS).select("lang", "word").collect():
+        out.setdefault(r["lang"], set()).add(r["word"])
+    return {k: frozenset(v) for k, v in out.items()}
+
+
+def page_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang, sizes, share, repeated, links) of every page with text, written once."""
+    known = FUNCTION_WORDS | learned_function_words(documents, text_col, lang_col)
     docs = spread(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.length("text") > 0))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [page_features(t) for t in pdf["text"]]
+            rows = [page_features(t, known) for t in pdf["text"]]
             out = pd.DataFrame(rows, columns=["lang", "sizes", "share", "repeated", "links"])
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
@@ -157,23 +189,28 @@ def page_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return written(docs.mapInPandas(read, f"doc_id {kind}, lang string, sizes array<int>, share array<float>, repeated array<float>, links array<float>"), "pages")
 
 
-def calibrate(pages: DataFrame) -> dict[str, float]:
-    """The upper quartile of the share of function words over all units of each language (one row per language)."""
-    units = pages.select("lang", F.explode("share").alias("share"))
-    return {r["lang"]: r["q"] for r in units.groupBy("lang").agg(F.percentile_approx("share", PROSE_QUANTILE, 1000).alias("q")).collect()}
+def calibrate(pages: DataFrame) -> dict[str, Usual]:
+    """What is usual in each language, over all units (one row per language)."""
+    units = pages.select("lang", F.explode(F.arrays_zip("share", "repeated", "links")).alias("u")).select("lang", "u.*")
+    usual = units.groupBy("lang").agg(F.percentile_approx("share", PROSE_QUANTILE, 1000).alias("q"))
+    at = {r["lang"]: float(r["q"] or 0.0) for r in usual.collect()}
+    if not at:
+        return {}
+    of = F.create_map(*(F.lit(x) for pair in at.items() for x in pair))
+    prose = units.filter(F.col("share") >= LOOSE * of[F.col("lang")])
+    high = prose.groupBy("lang").agg(*(F.percentile_approx(c, USUAL_QUANTILE, 1000).alias(c) for c in ("links", "repeated")))
+    top = {r["lang"]: (float(r["links"]), float(r["repeated"])) for r in high.collect()}
+    return {k: Usual(v, *(max(least, min(1.0, x)) for least, x in zip((LINK_SHARE, REPEATED_SHARE), top.get(k, (0.0, 0.0)), strict=True))) for k, v in at.items()}
 
 
-def score_pages(pages: DataFrame, usual: dict[str, float]) -> DataFrame:
+def score_pages(pages: DataFrame, usual: dict[str, Usual]) -> DataFrame:
     """(doc_id, lang, stuffed): the share of stuffed text of every page."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             columns = (pdf[c] for c in ("lang", "sizes", "share", "repeated", "links"))
             out = pdf[["doc_id", "lang"]].copy()
-            out["stuffed"] = [
-                stuffed_share(n.tolist(), f.tolist(), r.tolist(), k.tolist(), STRICT * usual.get(lang, 0.0), LOOSE * usual.get(lang, 0.0))
-                for lang, n, f, r, k in zip(*columns, strict=True)
-            ]
+            out["stuffed"] = [stuffed_share(n.tolist(), f.tolist(), r.tolist(), k.tolist(), usual.get(lang, Usual())) for lang, n, f, r, k in zip(*columns, strict=True)]
             yield out
 
     kind = pages.schema["doc_id"].dataType.simpleString()

@@ -61,8 +61,8 @@ def test_edges(spark):
 
 
 def test_share_counts_characters():
-    assert stuffed.stuffed_share([10, 30], [0.5, 0.0], [0.0, 1.0], [0.0, 0.0], 0.3, 0.4) == 0.75
-    assert stuffed.stuffed_share([], [], [], [], 0.3, 0.4) == 0.0
+    assert stuffed.stuffed_share([10, 30], [0.5, 0.0], [0.0, 1.0], [0.0, 0.0], stuffed.Usual(0.54)) == 0.75
+    assert stuffed.stuffed_share([], [], [], [], stuffed.Usual(0.54)) == 0.0
 
 
 def test_single_keywords_repeated_lines_and_one_numbered_line(spark):
@@ -75,3 +75,26 @@ def test_single_keywords_repeated_lines_and_one_numbered_line(spark):
     priced = " ".join(f"{rng.choice(['fast', 'cheap'])} company seal" for _ in range(60)) + " 1999"
     odd = [(900 + i, t, "en", None) for i, t in enumerate([one_a_line, shuffled, repeated, priced, "2024 " + shuffled])]
     assert found(spark, rows + odd) == want | {900, 901, 902, 903, 904}
+
+
+GERMAN = [
+    "Der Vorstand darf die Satzung der Gesellschaft nicht ohne die Zustimmung der Mitglieder ändern, und er hat das Register in der vom Gesetz bestimmten Form zu führen.",
+    "Wenn ein Mitglied mit der Zahlung in Verzug ist, kann das Gericht auf Antrag der Gesellschaft eine Frist setzen, nach der die Anteile an die Gesellschaft fallen.",
+    "Die Frist beginnt mit dem Tag, an dem der Beschluss der Versammlung den Mitgliedern in der vom Gesetz bestimmten Form mitgeteilt worden ist.",
+]
+
+
+def test_a_language_without_a_list_is_learned(spark):
+    rows, want = pages()
+    rng = random.Random(6)
+    for d in range(300, 360):
+        rows.append((d, " ".join(rng.choice(GERMAN) for _ in range(40)), "de", None))
+    for d in range(360, 372):
+        keys = rng.sample(["Firmensiegel kaufen", "Mantelgesellschaft billig", "Namenssuche online", "Protokollbuch Leder", "Markenanwalt Beratung"], 2)
+        rows.append((d, rng.choice([" | ", "; ", " "]).join(f"{rng.choice(keys)} {rng.choice(['Ostrel', 'Kelvane', 'schnell'])}" for _ in range(60)), "de", None))
+    df = spark.createDataFrame(rows, DOC)
+    known = stuffed.learned_function_words(df)
+    assert set(known) == {"de"} and {"der", "die", "mit"} <= known["de"]
+    langs = {r["doc_id"]: r["lang"] for r in stuffed.page_table(df).collect()}
+    assert {langs[d] for d in range(300, 360)} == {"de"}
+    assert found(spark, rows) == want | set(range(360, 372))
