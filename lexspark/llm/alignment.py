@@ -26,7 +26,9 @@ from lexspark.session import partitions, written
 
 CONCEPTS, SPAN = 256, 3
 #: Products of sentences that are held at once.
-PRODUCTS_AT_ONCE, ROUNDING = 2**20, 1e-4
+PRODUCTS_AT_ONCE, SENTENCES_AT_ONCE = 2**20, 512
+#: Cosines are compared to so many decimals, as their last bits depend on the order of summation.
+DECIMALS = 9
 #: A term counts by its concepts from this share of the sentences on; at most 4000 terms per term of a sentence do.
 LEAST_TERM_SHARE, LEAST_TERM_SENTENCES = 1 / 4000, 4
 LEAST_COSINE, LEAST_CONTAINED = 0.28, 0.6
@@ -69,6 +71,8 @@ class TermModel:
             x = np.zeros(CONCEPTS)
             x[[c["concept"] for c in r["counts"]]] = [c["n"] for c in r["counts"]]
             counts[r["side"]][r["term"]] = x
+        self.places: dict[str, dict[str, int]] = {}
+        self.matrix: dict[str, np.ndarray] = {}
         for side, terms in counts.items():
             total = sum(terms.values(), np.zeros(CONCEPTS))
             share = total / max(1.0, total.sum())
@@ -80,21 +84,32 @@ class TermModel:
                     z = np.divide(x - expected, np.sqrt(expected), out=np.zeros(CONCEPTS), where=expected > 0)
                     norm = np.sqrt(z @ z)
                     if norm > 0:
-                        self.vectors[side][term] = (idf * z / norm).astype(np.float32)
+                        self.vectors[side][term] = idf * z / norm
+            self.places[side] = {term: i for i, term in enumerate(self.vectors[side])}
+            self.matrix[side] = np.array(list(self.vectors[side].values())).reshape(-1, CONCEPTS)
 
     def dense(self, side: str, sentences, alike: dict[str, int]) -> tuple[np.ndarray, list[dict[int, float]]]:
         """Concept vectors of sentences, and the weights of the tokens in ``alike``, which both sides share."""
-        total, tokens = np.zeros((len(sentences), CONCEPTS), np.float32), []
-        vectors, weights, rare = self.vectors[side], self.weights[side], self.rare[side]
-        for i, words in enumerate(sentences):
+        place, weights, rare = self.places[side], self.weights[side], self.rare[side]
+        ids, ends, tokens = [], [], []
+        for words in sentences:
             mine = {}
             for w in words:
-                v = vectors.get(w)
-                if v is not None:
-                    total[i] += v
+                i = place.get(w)
+                if i is not None:
+                    ids.append(i)
                 elif w in alike:
                     mine[alike[w]] = weights.get(w, rare)
+            ends.append(len(ids))
             tokens.append(mine)
+        total = np.zeros((len(sentences), CONCEPTS))
+        for lo in range(0, len(sentences), SENTENCES_AT_ONCE):  # sums of runs of rows, of a bounded number of terms at once
+            some = ends[lo : lo + SENTENCES_AT_ONCE]
+            first = ends[lo - 1] if lo else 0
+            starts = np.array([first, *some[:-1]]) - first
+            held = np.flatnonzero(np.diff([first, *some]))
+            if len(held):
+                total[lo + held] = np.add.reduceat(self.matrix[side][ids[first : some[-1]]], starts[held], axis=0)
         return total, tokens
 
     def alike(self, a, b) -> dict[str, int]:
@@ -118,33 +133,38 @@ def learn_terms(pairs: DataFrame) -> TermModel:
 
 
 class Document:
-    """The exact products of the sentences of one document, computed only where they are asked for."""
+    """The sentences of one document: concept vectors and shared tokens of both sides, and the numbers in every sentence."""
 
     def __init__(self, model: TermModel, a, b):
         alike = model.alike(a, b)
         self.sides = [model.dense("a", a, alike), model.dense("b", b, alike)]
         self.numbers = [[{w for w in s if w.isdigit()} for s in side] for side in (a, b)]
-        self.seen: dict[tuple[int, int, int, int], float] = {}
 
-    def dot(self, one: int, i: int, two: int, j: int) -> float:
-        key = (one, i, two, j)
-        if key not in self.seen:
-            (va, ta), (vb, tb) = self.sides[one], self.sides[two]
-            self.seen[key] = float(va[i] @ vb[j]) + sum(x * tb[j][k] for k, x in ta[i].items() if k in tb[j])
-        return self.seen[key]
-
-    def norm(self, side: int, span: range) -> float:
-        return sum(self.dot(side, s, side, t) for s in span for t in span)
+    def norms(self, side: int) -> dict[int, np.ndarray]:
+        """The squared lengths of the spans of each width."""
+        vectors, tokens = self.sides[side]
+        out, n = {}, len(tokens)
+        for p in range(1, min(SPAN, n) + 1):
+            span = sum(vectors[d : n - p + 1 + d] for d in range(p))
+            out[p] = np.einsum("nd,nd->n", span, span)
+            for x in range(n - p + 1):
+                if any(tokens[x : x + p]):
+                    total: dict[int, float] = {}
+                    for t in tokens[x : x + p]:
+                        for k, w in t.items():
+                            total[k] = total.get(k, 0.0) + w
+                    out[p][x] += sum(w * w for w in total.values())
+        return out
 
 
-def similar_spans(document: Document) -> list[tuple[int, int, int, int]]:
-    """(x, p, y, q) of the spans, p sentences from x on and q from y on, that reach the least cosine and containment.
+def similar_spans(document: Document) -> list[tuple[float, int, int, int, int]]:
+    """(cosine, x, p, y, q) of the spans, p sentences from x on and q from y on, that reach the least cosine and containment.
 
     All pairs of spans are compared; blocks of rows bound the memory.
     """
     (va, ta), (vb, tb) = document.sides
     n_a, n_b = len(ta), len(tb)
-    norms = [{p: np.array([document.norm(side, range(x, x + p)) for x in range(n - p + 1)]) for p in range(1, SPAN + 1)} for side, n in ((0, n_a), (1, n_b))]
+    norms = [document.norms(0), document.norms(1)]
     holders: dict[int, list[tuple[int, float]]] = {}
     for j, tokens in enumerate(tb):
         for k, w in tokens.items():
@@ -152,7 +172,7 @@ def similar_spans(document: Document) -> list[tuple[int, int, int, int]]:
     at = {k: (np.array([j for j, _ in held]), np.array([w for _, w in held])) for k, held in holders.items()}
     height, out = max(1, PRODUCTS_AT_ONCE // max(1, n_b)), []
     for lo in range(0, n_a, height):
-        block = (va[lo : lo + height + SPAN - 1] @ vb.T).astype(np.float64)
+        block = va[lo : lo + height + SPAN - 1] @ vb.T
         for row, tokens in zip(block, ta[lo : lo + height + SPAN - 1], strict=True):
             for k, w in tokens.items():
                 if k in at:
@@ -163,26 +183,23 @@ def similar_spans(document: Document) -> list[tuple[int, int, int, int]]:
                 continue
             dot = sum(block[d : d + rows, e : e + columns] for d in range(p) for e in range(q))
             one, two = norms[0][p][lo : lo + rows, None], norms[1][q][None, :]
-            least, both = np.minimum(one, two), np.sqrt(np.maximum(one, 0.0)) * np.sqrt(np.maximum(two, 0.0))
-            near = (least > 0) & (dot >= (LEAST_COSINE - ROUNDING) * both) & (dot >= (LEAST_CONTAINED - ROUNDING) * least)
-            out += [(lo + x, p, y, q) for x, y in np.argwhere(near).tolist()]
+            least, both = np.minimum(one, two), np.sqrt(one * two)
+            x, y = np.nonzero((least > 0) & (dot >= LEAST_COSINE * both) & (dot >= LEAST_CONTAINED * least))
+            cosine = np.round(dot[x, y] / both[x, y], DECIMALS)
+            out += [(c, lo + i, p, j, q) for c, i, j in zip(cosine.tolist(), x.tolist(), y.tolist(), strict=True)]
     return out
 
 
 def best_spans(document: Document) -> list[tuple[int, int, float]]:
-    """Pairs of sentences of the spans that are chosen best first; no sentence is in two spans."""
-    spans = {}
-    for x, p, y, q in similar_spans(document):
-        mine, theirs = range(x, x + p), range(y, y + q)
-        dot = sum(document.dot(0, s, 1, t) for s in mine for t in theirs)
-        one, two = document.norm(0, mine), document.norm(1, theirs)
-        spans[x, p, y, q] = (dot / math.sqrt(one * two), dot / min(one, two))
+    """Pairs of sentences of the mutually best spans; no sentence is in two spans.
+
+    Two spans are mutually best if neither shares a sentence with a span of a more similar pair that is left; taking the
+    most similar pair of all that are left, time and again, gives just those.
+    """
     out, used_a, used_b = [], set(), set()
-    for (x, p, y, q), (cosine, contained) in sorted(spans.items(), key=lambda s: (-s[1][0], s[0])):
-        if cosine < LEAST_COSINE:
-            break
+    for cosine, x, p, y, q in sorted(similar_spans(document), key=lambda s: (-s[0], s[1:])):
         mine, theirs = range(x, x + p), range(y, y + q)
-        if contained < LEAST_CONTAINED or not used_a.isdisjoint(mine) or not used_b.isdisjoint(theirs):
+        if not used_a.isdisjoint(mine) or not used_b.isdisjoint(theirs):
             continue
         one, two = (set().union(*(document.numbers[side][s] for s in span)) for side, span in ((0, mine), (1, theirs)))
         if one and two and not one & two:
