@@ -1,14 +1,16 @@
 """Problem 3: noise in the text of scanned pages, and its repair into continuous readable paragraphs.
 
-Lines: what stands in the top or bottom margin is page furniture, a page number alone or a running header. Body lines are
+Lines: what stands in the top or bottom margin is page furniture, a page number alone or a running header; so is, wherever it
+stands, a text whose letters recur at one height on three pages and on half of the pages of its document. Body lines are
 read in page order; a word cut at the end of a line is joined with the first word of the next body line and counts as
 broken unless the corpus writes the two with a hyphen. Paragraphs have lost the positions: headers are told by their form,
 page numbers by their decoration, or where the words around a number follow each other in the corpus but not the number.
 
 Misread words: Spark counts all words of all scanned text. The known words form a trie; every other word, and every known
 one, is intersected as a Levenshtein automaton of one edit with the trie, where an edit may also be a confusion of the
-scanner such as ``rn`` for ``m``. The retrieval is complete; candidates that the corpus writes far more often are ranked by
-the kind of edit, by the words beside them and by frequency.
+scanner such as ``rn`` for ``m``; long words without a candidate are intersected once more for two confusions. The retrieval
+is complete; candidates that the corpus writes far more often are ranked by the kind of edit, by the words beside all
+occurrences of the misread word and by frequency.
 
 Defined results: documents that are not scans are ignored; null and blank texts have no noise and are no text between two
 halves of a word; repeated equal rows count once, and rows of one key that differ are rows of their own; a null page
@@ -34,7 +36,11 @@ PAGE_HEIGHT, TOP, BOTTOM = 792.0, 0.08, 0.85
 KNOWN_SHARE, KNOWN_LEAST, PAIR_SHARE, PAIR_LEAST = 2e-6, 8, 1e-6, 3
 #: A word is misread only if the corpus writes the other word so many times as often.
 TIMES_AS_OFTEN = 30
-GENERAL_EDIT_LETTERS = 5
+#: Letters of a word that may have an edit of any kind, or two confusions.
+GENERAL_EDIT_LETTERS, TWO_CONFUSIONS_LETTERS = 5, 8
+#: A text that recurs on so many pages, on such a share of the pages of its document and within such a part of their height
+#: is a running header.
+HEADER_PAGES, HEADER_SHARE, HEADER_DRIFT, HEADER_LETTERS = 3, 0.5, 0.03, 4
 SUSPECTS_BROADCAST, KNOWN_BROADCAST = 500_000, 500_000
 
 # What scanners take for what (read, meant), and words that may follow a hanging hyphen.
@@ -81,8 +87,12 @@ def read_lines(lines: DataFrame, meta: DataFrame) -> DataFrame:
     text = F.btrim("text", F.lit(SPACE))
     rows = lines.select("doc_id", "seq", "page", "block", "y0", "x0", text.alias("text")).filter(F.length("text") > 0).join(scans, "doc_id").distinct()
     hyphen = F.right("text", F.lit(1)).isin(*HYPHENS)
+    rows = rows.withColumn("letters", F.regexp_replace(F.lower("text"), r"\P{L}+", ""))
+    rows = rows.withColumn("letters", F.when(F.length("letters") >= HEADER_LETTERS, F.xxhash64("letters")))
+    headers = recurring(rows).withColumn("recurs", F.lit(True))
+    rows = checked_join(rows, headers, ["doc_id", "letters"], "left").drop("letters")
     rows = rows.withColumns({
-        "margin": margin_kind(F.col("text"), F.col("y0"), F.col("height")),
+        "margin": F.coalesce(margin_kind(F.col("text"), F.col("y0"), F.col("height")), F.when(F.col("recurs"), "header")),
         "first": F.nullif(F.when(hyphen, F.regexp_extract("text", rf"(?<![\p{{L}}\p{{N}}@!|$€])({_TOKEN}){_HYPHEN}$", 1)), F.lit("")),
         "second": F.nullif(F.regexp_extract("text", rf"^(?=[\p{{Ll}}@]|\d\p{{Ll}})({_TOKEN})", 1), F.lit("")),
     })
@@ -101,6 +111,16 @@ def read_lines(lines: DataFrame, meta: DataFrame) -> DataFrame:
     })
 
 
+def recurring(rows: DataFrame) -> DataFrame:
+    """(doc_id, letters) of the texts that recur from page to page of a document."""
+    pages = rows.groupBy("doc_id").agg(F.count_distinct("page").alias("pages")).filter(F.col("pages") >= HEADER_PAGES)
+    height = F.when(F.col("height") > 0, F.col("height")).otherwise(F.lit(PAGE_HEIGHT))
+    once = rows.filter("letters is not null").groupBy("doc_id", "letters", "page").agg(F.min("y0").alias("low"), F.max("y0").alias("high"), F.max(height).alias("height"))
+    texts = once.groupBy("doc_id", "letters").agg(F.count("*").alias("n"), (F.max("high") - F.min("low") <= HEADER_DRIFT * F.max("height")).alias("level"))
+    texts = texts.filter((F.col("n") >= HEADER_PAGES) & F.col("level"))
+    return texts.join(pages, "doc_id").filter(F.col("n") >= HEADER_SHARE * F.col("pages")).select("doc_id", "letters")
+
+
 class Corpus:
     """Known words, compounds and pairs of neighbouring words of all scanned text, with their counts."""
 
@@ -196,70 +216,73 @@ class Trie:
         for read, meant in CONFUSIONS:
             self.meant.setdefault(meant[0], []).append((read, meant))
 
-    def candidates(self, word: str) -> list[tuple[str, bool]]:
-        """All words one edit away, with whether the edit is a confusion of scanners.
+    def candidates(self, word: str, general: int = 1, confusions: int = 1, edits: int = 1) -> list[tuple[str, bool]]:
+        """All words up to ``edits`` edits away, with whether confusions of scanners alone lead there.
 
-        A state is (position, kind, rest): kind 0 before the edit, 1 after a general edit, 2 after a confusion; ``rest``
-        is what a confusion still expects of the vocabulary's word.
+        A state is (position, general edits, confusions, rest); ``rest`` is what a confusion still expects of the
+        vocabulary's word. At most ``general`` edits of any kind and ``confusions`` confusions are made.
         """
         n, found = len(word), {}
-        stack = [(self.root, frozenset([(0, 0, ""), (1, 1, "")] if n else [(0, 0, "")]))]
+        begin = {(0, 0, 0, "")} | ({(1, 1, 0, "")} if n and general else set())
+        stack = [(self.root, frozenset(begin))]
         while stack:
             node, states = stack.pop()
             for c, child in node.items():
                 if not c:
-                    for p, kind, rest in states:
-                        if p == n and kind and not rest:
-                            found[child] = found.get(child, False) or kind == 2
+                    for p, g, k, rest in states:
+                        if p == n and g + k and not rest:
+                            found[child] = found.get(child, False) or not g
                     continue
                 after = set()
-                for p, kind, rest in states:
+                for p, g, k, rest in states:
                     if rest:
                         if rest[0] == c:
-                            after.add((p, kind, rest[1:]))
+                            after.add((p, g, k, rest[1:]))
                         continue
+                    more = g + k < edits and g < general
                     if p < n and word[p] == c:
-                        after.add((p + 1, kind, ""))
-                        if not kind and p + 2 <= n:
-                            after.add((p + 2, 1, ""))  # the character after this one is too many
-                    if not kind:
-                        after.add((p, 1, ""))  # a character is missing
+                        after.add((p + 1, g, k, ""))
+                        if more and p + 2 <= n:
+                            after.add((p + 2, g + 1, k, ""))  # the character after this one is too many
+                    if more:
+                        after.add((p, g + 1, k, ""))  # a character is missing
                         if p < n:
-                            after.add((p + 1, 1, ""))
+                            after.add((p + 1, g + 1, k, ""))
+                    if g + k < edits and k < confusions:
                         for read, meant in self.meant.get(c, ()):
                             if word.startswith(read, p):
-                                after.add((p + len(read), 2, meant[1:]))
+                                after.add((p + len(read), g, k + 1, meant[1:]))
                 if after:
                     stack.append((child, frozenset(after)))
         return [(w, k) for w, k in found.items() if w != word]
 
 
-def meant_word(trie: Trie, corpus: Corpus, token: str, count: int, before: str | None, after: str | None) -> str | None:
-    """The word that a misread token stands for ("" if it is misread beyond retrieval), or null if it is not misread."""
+def meant_words(trie: Trie, corpus: Corpus, token: str, count: int) -> list[tuple[str, bool]]:
+    """The words that a misread token may stand for, with whether confusions lead there ("" if it is misread beyond
+    retrieval); none if it is not misread."""
     word = token.lower()
     digits, letters = sum(c.isdigit() for c in word), sum(c.isalpha() for c in word)
     marks = len(word) - digits - letters
     if not letters or (not marks and digits and (letters <= digits and len(word) > 2 or re.fullmatch(r"\d+[A-Z]{1,2}|[A-Z]+\d+", token))):
-        return None
+        return []
     if len(word) < 2 or (len(word) > 2 and token.isupper() and len(word) < 4 and not marks) or _ROMAN.fullmatch(word):
-        return None
+        return []
     known = corpus.words.get(word, 0)
     lower = token[0].islower() or not token[0].isalpha()
-    best = None
+    out = []
     for w, confusion in trie.candidates(word):
         if corpus.words[w] < TIMES_AS_OFTEN * max(count, known, 1):
             continue
         general = lower and not known and len(word) >= GENERAL_EDIT_LETTERS and word.isalpha() and len(w) >= GENERAL_EDIT_LETTERS
         if not (confusion or general or (digits + marks and len(word) > 3)) or (not lower and len(w) < 4):
             continue
-        context = sum(math.log1p(corpus.pairs.get(p, 0)) for p in ((before, w), (w, after)) if None not in p)
-        rank = (confusion, context, corpus.words[w], w)
-        if best is None or rank > best[0]:
-            best = (rank, w)
-    if best:
-        return best[1]
-    inside = re.search(r"(?<=[a-zà-ÿ])[@|$€0156](?=[a-zà-ÿ])", token)
-    return "" if inside and letters >= 3 and digits + marks == 1 and not known else None
+        out.append((w, confusion))
+    if not out and not known and len(word) >= TWO_CONFUSIONS_LETTERS:
+        out = [(w, True) for w, _ in trie.candidates(word, 0, 2, 2) if corpus.words[w] >= TIMES_AS_OFTEN * max(count, 1)]
+    if not out:
+        inside = re.search(r"(?<=[a-zà-ÿ])[@|$€0156](?=[a-zà-ÿ])", token)
+        return [("", False)] if inside and letters >= 3 and digits + marks == 1 and not known else []
+    return out
 
 
 def _count(df: DataFrame, column: str) -> DataFrame:
@@ -293,22 +316,36 @@ def learn_corpus(rows: DataFrame, paragraphs: DataFrame) -> Corpus:
     return corpus
 
 
-def known_misread(trie: Trie, corpus: Corpus) -> dict[str, str]:
+def known_misread(trie: Trie, corpus: Corpus) -> set[str]:
     """Frequent words that are misread all the same, since the corpus writes what they stand for far more often."""
-    found = {w: meant_word(trie, corpus, w, n, None, None) for w, n in corpus.words.items()}
-    return {w: m for w, m in found.items() if m is not None}
+    return {w for w, n in corpus.words.items() if meant_words(trie, corpus, w, n)}
 
 
 def misread_words(odd: DataFrame, trie: Trie, corpus: Corpus) -> DataFrame:
-    """(word, meant) of all distinct words that are misread; ``odd`` has (word, before, after) of the words not known as right."""
-    seen = odd.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("before", "after")).alias("context"))
+    """(word, meant) of all distinct words that are misread; ``odd`` has (word, before, after) of the words not known as right.
+
+    Of several candidates the words beside every occurrence decide.
+    """
+    seen = written(odd.groupBy("word", "before", "after").agg(F.count("*").alias("n")), "odd-contexts")
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            meant = [meant_word(trie, corpus, w, n, c["before"], c["after"]) for w, n, c in zip(pdf["word"], pdf["n"], pdf["context"], strict=True)]
-            yield pd.DataFrame({"word": pdf["word"], "meant": meant}).dropna()
+            rows = [(w, m, k, corpus.words.get(m, 0)) for w, n in zip(pdf["word"], pdf["n"], strict=True) for m, k in meant_words(trie, corpus, w, n)]
+            yield pd.DataFrame(rows, columns=["word", "meant", "confusion", "often"])
+
+    words = seen.groupBy("word").agg(F.sum("n").alias("n"))
+    candidates = written(words.mapInPandas(look_up, "word string, meant string, confusion boolean, often long"), "candidates")
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        near = lambda a, b: math.log1p(corpus.pairs.get((a, b), 0)) if a is not None and b is not None else 0.0
+        for pdf in batches:
+            pdf["context"] = [n * (near(b, m) + near(m, a)) for n, b, m, a in zip(pdf["n"], pdf["before"], pdf["meant"], pdf["after"], strict=True)]
+            yield pdf[["word", "meant", "confusion", "often", "context"]]
 
-    return seen.mapInPandas(look_up, "word string, meant string")
+    placed = checked_join(seen, candidates, "word").select("word", "before", "after", "n", "meant", "confusion", "often")
+    weighed = placed.mapInPandas(weigh, "word string, meant string, confusion boolean, often long, context double")
+    summed = weighed.groupBy("word", "meant", "confusion", "often").agg(F.round(F.sum("context"), 6).alias("context"))
+    return summed.groupBy("word").agg(F.max(F.struct("confusion", "context", "often", "meant")).alias("best")).select("word", "best.meant")
 
 
 def _odd_words(df: DataFrame, keys: list[str], right: DataFrame, n_right: int) -> DataFrame:
@@ -349,7 +386,7 @@ class Scans:
         first_half = self.rows.filter("first is not null")
         self.joined = first_half.select("doc_id", "seq", "next_seq", "first", "second", F.concat("first", "second").alias("word"))
         trie = Trie(corpus.words)
-        right = sorted(corpus.words.keys() - known_misread(trie, corpus).keys())
+        right = sorted(corpus.words.keys() - known_misread(trie, corpus))
         known = self.spark.createDataFrame([(w,) for w in right], "right string")  # bounded as the known words are
         line_words = _odd_words(self.rows.filter("margin is null"), ["doc_id", "seq"], known, len(right)).select(F.lit("line").alias("rec"), "*")
         text_words = _odd_words(self.texts, ["doc_id", "seq"], known, len(right)).select(F.lit("paragraph").alias("rec"), "*")

@@ -75,3 +75,30 @@ def test_retrieval_is_complete():
         w = "".join(rng.choice("abcilmnru10") for _ in range(rng.randint(1, 6)))
         assert {c for c, _ in trie.candidates(w)} == edit_one(w, vocabulary), w
     assert trie.candidates("") == [] or all(len(c) == 1 for c, _ in trie.candidates(""))
+
+
+def test_two_confusions_in_a_long_word():
+    trie = scans.Trie(dict.fromkeys(["administration", "minister", "determination"], 1))
+    twice = {w: trie.candidates(w, 0, 2, 2) for w in ("adrninistratlon", "determinatlon", "administxatlon", "rninlster")}
+    assert twice["adrninistratlon"] == [("administration", True)] and twice["determinatlon"] == [("determination", True)]
+    assert twice["administxatlon"] == [] and twice["rninlster"] == [("minister", True)]
+
+
+def test_a_text_that_recurs_at_one_height_is_a_header(spark):
+    rows = []
+    for page in range(6):
+        rows.append((1, 10 * page, page, 0, 150.0 + page % 2, 40.0, f"Fisheries Act {page}"))
+        rows += [(1, 10 * page + i, page, 0, 150.0 + 20 * i, 40.0, f"body {'abcdef'[page]}{'uvwxyz'[i]} of the page") for i in range(1, 5)]
+        rows.append((1, 10 * page + 6, page, 0, 300.0 + 40 * page, 40.0, "shall apply."))
+    lines = spark.createDataFrame(rows, "doc_id long, seq long, page int, block int, y0 double, x0 double, text string")
+    meta = spark.createDataFrame([(1, "scan", 792.0)], "doc_id long, medium string, page_height double")
+    got = {r["seq"]: r["margin"] for r in scans.read_lines(lines, meta).collect()}
+    assert {k for k, v in got.items() if v == "header"} == {0, 10, 20, 30, 40, 50}
+
+
+def test_words_beside_all_occurrences_decide(spark):
+    corpus = scans.Corpus({"form": 900, "farm": 900, "the": 5000, "of": 5000, "land": 800}, {})
+    corpus.set_pairs({("the", "farm"): 40, ("farm", "land"): 60, ("form", "of"): 30})
+    trie = scans.Trie(corpus.words)
+    odd = spark.createDataFrame([("f0rm", None, "of")] * 2 + [("f0rm", None, None)] * 3, "word string, before string, after string")
+    assert [tuple(r) for r in scans.misread_words(odd, trie, corpus).collect()] == [("f0rm", "form")]
