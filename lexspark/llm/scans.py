@@ -85,12 +85,10 @@ def read_lines(lines: DataFrame, meta: DataFrame) -> DataFrame:
     """Lines of scans with their margin kind, words, and the word that is cut at their end (its halves)."""
     scans = meta.filter("medium = 'scan'").groupBy("doc_id").agg(F.max("page_height").alias("height"))
     text = F.btrim("text", F.lit(SPACE))
-    rows = lines.select("doc_id", "seq", "page", "block", "y0", "x0", text.alias("text")).filter(F.length("text") > 0).join(scans, "doc_id").distinct()
+    rows = lines.select("doc_id", "seq", "page", "block", "y0", "x0", text.alias("text")).filter(F.length("text") > 0).join(scans, "doc_id")
+    rows = rows.repartition("doc_id").distinct()  # one shuffle serves this and all windows within a document
     hyphen = F.right("text", F.lit(1)).isin(*HYPHENS)
-    rows = rows.withColumn("letters", F.regexp_replace(F.lower("text"), r"\P{L}+", ""))
-    rows = rows.withColumn("letters", F.when(F.length("letters") >= HEADER_LETTERS, F.xxhash64("letters")))
-    headers = recurring(rows).withColumn("recurs", F.lit(True))
-    rows = checked_join(rows, headers, ["doc_id", "letters"], "left").drop("letters")
+    rows = with_recurrence(rows)
     rows = rows.withColumns({
         "margin": F.coalesce(margin_kind(F.col("text"), F.col("y0"), F.col("height")), F.when(F.col("recurs"), "header")),
         "first": F.nullif(F.when(hyphen, F.regexp_extract("text", rf"(?<![\p{{L}}\p{{N}}@!|$€])({_TOKEN}){_HYPHEN}$", 1)), F.lit("")),
@@ -111,14 +109,15 @@ def read_lines(lines: DataFrame, meta: DataFrame) -> DataFrame:
     })
 
 
-def recurring(rows: DataFrame) -> DataFrame:
-    """(doc_id, letters) of the texts that recur from page to page of a document."""
-    pages = rows.groupBy("doc_id").agg(F.count_distinct("page").alias("pages")).filter(F.col("pages") >= HEADER_PAGES)
+def with_recurrence(rows: DataFrame) -> DataFrame:
+    """Adds ``recurs``: the letters of the text stand at one height on enough pages of the document."""
+    letters = F.regexp_replace(F.lower("text"), r"\P{L}+", "")
+    rows = rows.withColumn("letters", F.when(F.length(letters) >= HEADER_LETTERS, F.xxhash64(letters)).otherwise(F.xxhash64("page", "seq", "text")))
+    same, document = Window.partitionBy("doc_id", "letters"), Window.partitionBy("doc_id")
     height = F.when(F.col("height") > 0, F.col("height")).otherwise(F.lit(PAGE_HEIGHT))
-    once = rows.filter("letters is not null").groupBy("doc_id", "letters", "page").agg(F.min("y0").alias("low"), F.max("y0").alias("high"), F.max(height).alias("height"))
-    texts = once.groupBy("doc_id", "letters").agg(F.count("*").alias("n"), (F.max("high") - F.min("low") <= HEADER_DRIFT * F.max("height")).alias("level"))
-    texts = texts.filter((F.col("n") >= HEADER_PAGES) & F.col("level"))
-    return texts.join(pages, "doc_id").filter(F.col("n") >= HEADER_SHARE * F.col("pages")).select("doc_id", "letters")
+    pages = lambda w: F.size(F.collect_set("page").over(w))
+    rows = rows.withColumns({"n": pages(same), "level": F.max("y0").over(same) - F.min("y0").over(same) <= HEADER_DRIFT * height, "pages": pages(document)})
+    return rows.withColumn("recurs", (F.col("n") >= HEADER_PAGES) & (F.col("n") >= HEADER_SHARE * F.col("pages")) & F.col("level")).drop("letters", "n", "level", "pages")
 
 
 class Corpus:
