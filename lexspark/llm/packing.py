@@ -24,8 +24,9 @@ from lexspark.session import written
 CAPACITY = 1024
 #: ``\w+|[^\w\s]`` of Python spelled out by character class, since Java's ``\w`` differs.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}]"
-#: Gap of the linear program, rounds after which it ends all the same, and the share of the space that is filled up at the end.
-GAP, ROUNDS, REST = 0.06, 300, 0.06
+#: Gap of the linear program, rounds after which it ends all the same (of the first and of those for what rounding leaves), and
+#: the share of the space that is filled up at the end.
+GAP, ROUNDS, LATER_ROUNDS, REST = 0.06, 600, 200, 0.06
 #: Rows of one length that one task ranks.
 ROWS_PER_RANKING_TASK = 200_000
 
@@ -179,7 +180,7 @@ def container_plan(counts: dict[int, int], capacity: int, rest: float = REST) ->
     whole = sum(s * n for s, n in counts.items())
     left, containers, values = {s: n for s, n in counts.items() if n}, [], None
     while left and (values is None or sum(s * n for s, n in left.items()) > rest * whole):
-        solved = configuration_lp(left, capacity)
+        solved = configuration_lp(left, capacity, most_rounds=LATER_ROUNDS if values else ROUNDS)
         values = values or (solved.primal, solved.dual)
         some = rounded(left, solved.configurations, capacity)
         left = {s: n for s, n in left.items() if n}
@@ -229,7 +230,7 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, id_col: str =
     slots = spark.createDataFrame(plan_containers(counts, capacity), "size int, from_rank long, to_rank long, copies long, first long")
     items = ranked(sizes.filter("size > 0"), "size", "doc_id", max(counts.values(), default=0)).alias("i")
     here = (F.col("i.size") == F.col("s.size")) & F.col("i.rank").between(F.col("s.from_rank"), F.col("s.to_rank") - 1)
-    last = items.join(F.broadcast(slots.alias("s")), here).select(  # slots: bounded by the capacity
+    last = items.join(F.broadcast(slots.alias("s")), here).select(  # slots: bounded by the rounds and the lengths, whatever the number of documents
         "i.doc_id",
         F.floor(F.col("i.n") / capacity).cast("int").alias("part_no"),
         F.col("i.size").cast("long").alias("n_tokens"),
