@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspark import providers
@@ -51,11 +51,8 @@ def retrieve(questions: DataFrame, keyed: DataFrame, semantic: DataFrame | None,
 
     ``semantic`` is a ranking (query_key, chunk_key, rank) of the injected vector retriever, or None.
     """
-    # scored under short keys, as most chunks share a word with a question; the long ones come back to those that are ranked
-    numbered = keyed.select(F.xxhash64("chunk_key").alias("chunk_no"), "chunk_key", "indexed")
-    scored = bm25.scores(questions, bm25.build_postings(numbered, ["chunk_no"], "indexed"), query_key, ["chunk_no"]).withColumn("score", F.round("score", bm25.DECIMALS))
-    first = scored.withColumn("place", F.rank().over(Window.partitionBy(query_key).orderBy(F.desc("score")))).filter(F.col("place") <= depth)
-    ranking = bm25.top_k(first.drop("place").join(numbered.select("chunk_no", "chunk_key"), "chunk_no"), query_key, ["chunk_key"], depth).select(query_key, F.lit(1).alias("ranking_no"), F.col("rk").alias("rank"), "chunk_key")
+    found = bm25.search_texts(questions, keyed, query_key, ["chunk_key"], depth, text="indexed")
+    ranking = found.select(query_key, F.lit(1).alias("ranking_no"), F.col("rk").alias("rank"), "chunk_key")
     if semantic is not None:
         near = semantic.filter(F.col("rank") <= depth).select(query_key, F.lit(0).alias("ranking_no"), "rank", "chunk_key")
         ranking = near.unionByName(ranking)

@@ -38,9 +38,9 @@ def _questions(spark, sf_dir):
     return table(spark, sf_dir, "query_embeddings").filter("query_id % 100 = 0 AND question IS NOT NULL").select("query_id", "question")
 
 
-def _search(spark, sf_dir, k, question="question", postings=None):
-    postings = postings or bm25.build_postings(_chunks(spark, sf_dir), CHUNK_KEYS, "indexed")
-    return bm25.top_k(bm25.scores(table(spark, sf_dir, "eval_cases"), postings, "case_id", CHUNK_KEYS, question), "case_id", CHUNK_KEYS, k)
+def _search(spark, sf_dir, k, question="question", chunks=None):
+    chunks = chunks or written(_chunks(spark, sf_dir).select(*CHUNK_KEYS, "indexed"), "chunks")
+    return bm25.search_texts(table(spark, sf_dir, "eval_cases"), chunks, "case_id", CHUNK_KEYS, k, question, "indexed")
 
 
 def bm25_topk(spark, sf_dir):
@@ -121,9 +121,9 @@ def _keyed(df):
 
 
 def rrf_fusion(spark, sf_dir):
-    postings = written(bm25.build_postings(_chunks(spark, sf_dir), CHUNK_KEYS, "indexed"), "postings")
-    one = _keyed(_search(spark, sf_dir, 20, postings=postings)).select("case_id", F.lit(0).alias("ranking_no"), F.col("rk").alias("rank"), "chunk")
-    two = _keyed(_search(spark, sf_dir, 20, "passage", postings)).select("case_id", F.lit(1).alias("ranking_no"), F.col("rk").alias("rank"), "chunk")
+    chunks = written(_chunks(spark, sf_dir).select(*CHUNK_KEYS, "indexed"), "chunks")
+    one = _keyed(_search(spark, sf_dir, 20, chunks=chunks)).select("case_id", F.lit(0).alias("ranking_no"), F.col("rk").alias("rank"), "chunk")
+    two = _keyed(_search(spark, sf_dir, 20, "passage", chunks)).select("case_id", F.lit(1).alias("ranking_no"), F.col("rk").alias("rank"), "chunk")
     return fusion.reciprocal_rank_fusion(one.unionByName(two), "case_id", "chunk").filter("rk <= 10")
 
 
@@ -183,7 +183,7 @@ def ablation_compare(spark, sf_dir):
     expected = named.select("case_id", F.lit(0).alias("exp_no"), "citation", F.lit(None).cast("string").alias("term"))
     semantic = written(_semantic(spark, sf_dir, keyed), "semantic")
     both = [pipelines.retrieve(questions, keyed, semantic, "query_id", 10, structured=x) for x in (False, True)]
-    keyword = bm25.search(questions, bm25.build_postings(keyed, ["chunk_key"], "indexed"), "query_id", ["chunk_key"], 10)
+    keyword = bm25.search_texts(questions, keyed, "query_id", ["chunk_key"], 10, text="indexed")
     rankings = {"semantic": semantic.filter("rank <= 10").withColumnRenamed("rank", "rk"), "bm25": keyword, "fusion": both[0], "hybrid": both[1]}
     sections = keyed.select("chunk_key", F.col("section").alias("citation"), F.lit(None).cast("string").alias("heading"))
     out = None

@@ -34,6 +34,19 @@ def test_bm25_with_more_terms_than_are_broadcast(spark, monkeypatch):
     assert get() == want and len(want) == 3
 
 
+@pytest.mark.parametrize("cells,per_pass", [(2_000_000, 512), (7, 512), (30, 1)])
+def test_searching_texts_equals_searching_their_postings(spark, monkeypatch, cells, per_pass):
+    monkeypatch.setattr(bm25, "CELLS", cells)
+    ts = ["x y", None, "x", "", "z z y", "x", "w", "x", "y x x y"] * 3
+    base = texts(spark, *ts).withColumn("no", F.when(F.col("id") % 5 > 0, F.col("id") % 7)).withColumn("score", F.lit("clash"))
+    q = spark.createDataFrame([(7, "x y x"), (8, "z"), (9, None), (10, "-"), (11, "nowhere"), (12, "X, y!"), (None, "y")], "query_id long, question string")
+    get = lambda df: sorted(((r["query_id"], r["no"], r["id"], round(r["score"], 8), r["rk"]) for r in df.collect()), key=repr)
+    want = get(bm25.search(q, bm25.build_postings(base, ["no", "id"]), "query_id", ["no", "id"], 4))
+    got = get(bm25.search_texts(q, base.coalesce(1), "query_id", ["no", "id"], 4, per_pass=per_pass))
+    assert got == want and len(want) == 15
+    assert bm25.search_texts(q.limit(0), base, "query_id", ["id"]).count() == 0 == bm25.search_texts(q, base.limit(0), "query_id", ["id"]).count()
+
+
 def test_a_zero_query_brings_k_rows_and_keys_may_be_strings(spark):
     base = spark.createDataFrame([(f"c{i:03d}", [float(i % 3), 1.0]) for i in range(300)], "key string, v array<double>")
     q = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "qid long, v array<double>")
