@@ -34,6 +34,11 @@ def _lines(spark, sf_dir):
     return table(spark, sf_dir, "lines").select("doc_id", "seq", "page", "block", "x0", "y0", "text").distinct()
 
 
+def _kept_lines(spark, sf_dir):
+    """The same, written once, for queries that read them several times."""
+    return written(_lines(spark, sf_dir), "lines")
+
+
 def _questions(spark, sf_dir):
     return table(spark, sf_dir, "query_embeddings").filter("query_id % 100 = 0 AND question IS NOT NULL").select("query_id", "question")
 
@@ -342,7 +347,7 @@ def front_matter(spark, sf_dir):
 
 
 def paragraphs_from_lines(spark, sf_dir):
-    return cleanup.to_paragraphs(_lines(spark, sf_dir), table(spark, sf_dir, "documents_meta"))
+    return cleanup.to_paragraphs(_kept_lines(spark, sf_dir), table(spark, sf_dir, "documents_meta"))
 
 
 def detect_layout(spark, sf_dir):
@@ -352,7 +357,7 @@ def detect_layout(spark, sf_dir):
 
 
 def _sided(spark, sf_dir):
-    lines = _lines(spark, sf_dir)
+    lines = _kept_lines(spark, sf_dir)
     return layout.reading_order(layout.assign_columns(lines, layout.detect_layout(lines, table(spark, sf_dir, "documents_meta"))))
 
 
@@ -373,13 +378,13 @@ def _paragraphs(spark, sf_dir):
 
 
 def classify_paragraphs(spark, sf_dir):
-    paragraphs, status = pipelines.column_paragraphs(_lines(spark, sf_dir), table(spark, sf_dir, "documents_meta"))
+    paragraphs, status = pipelines.column_paragraphs(_kept_lines(spark, sf_dir), table(spark, sf_dir, "documents_meta"))
     kinds = chunking.classify(paragraphs).select("doc_id", "para_seq", "kind", "section", "subsection", "heading", "part")
     return pipelines.with_status(kinds, status)
 
 
 def chunk_sections(spark, sf_dir):
-    return pipelines.build_chunks(_lines(spark, sf_dir), table(spark, sf_dir, "documents_meta"))
+    return pipelines.build_chunks(_kept_lines(spark, sf_dir), table(spark, sf_dir, "documents_meta"))
 
 
 def split_items(spark, sf_dir):
