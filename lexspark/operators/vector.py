@@ -22,8 +22,8 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """The vector at length 1; a zero vector stays zero."""
-    n = F.greatest(norm(v), F.lit(FLOOR))
-    return F.transform(v, lambda x: x.cast("double") / n)
+    n = F.array(F.greatest(norm(v), F.lit(FLOOR)))  # bound by a lambda of its own, or every element would compute it again
+    return F.transform(n, lambda one: F.transform(v, lambda x: x.cast("double") / one))[0]
 
 
 def unit_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
