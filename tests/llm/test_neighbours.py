@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -86,6 +88,38 @@ def test_tiles_are_spread_whatever_the_joins(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_disk_follows_the_vectors_and_not_the_tiles(spark):
+    from lexspark.session import written_dir
+
+    def files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        shuffled = {(f := blocks.apply(n)).getPath(): f.length() for n in range(blocks.size())}
+        folder = Path(written_dir(spark).removeprefix("file://"))
+        return shuffled | {str(p): p.stat().st_size for p in folder.rglob("*") if p.is_file()}
+
+    rows = vectors(600, 8, ("a",))
+    old = files()
+    assert found(spark, rows, query_block=20, base_block=40) == brute(rows)
+    used = sum(n for path, n in files().items() if path not in old)
+    assert used < 5 * 600 * 128 * 4, used
+
+
+def test_tile_takes_blocks_one_after_another():
+    rng = np.random.default_rng(9)
+    v = np.concatenate([c + 0.2 * rng.normal(size=(500, 128)) for c in rng.normal(size=(4, 128))]).astype(np.float32)
+    ids = rng.permutation(len(v)) * 10
+    codes = neighbours.quantised(neighbours.unit_rows(v))
+    part = lambda s: neighbours._Vectors(ids[s], neighbours.Codes(*(c[s] for c in codes)), v[s])
+    best = neighbours._Best(part(slice(300, 900)), 10, 6)
+    for at in range(0, len(v), 700):
+        best.add(part(slice(at, at + 700)))
+    u = neighbours.unit_rows(v)
+    cosines = np.round(u @ u.T, 6)
+    got = best.table().to_pydict()
+    want = [[b for b in np.lexsort((ids, -cosines[a])) if b != a][:10] for a in range(300, 900)]
+    assert got["head"] == np.repeat(ids[300:900], 10).tolist() and got["other"] == [int(ids[b]) for row in want for b in row]
+
+
 def test_on_the_given_table(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/query_embeddings.parquet").select("query_id", "embeddings", "model")
     rows = [(r[0], r[1], r[2], None) for r in df.collect()]
