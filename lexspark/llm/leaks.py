@@ -24,7 +24,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from itertools import accumulate
+from itertools import accumulate, repeat
 from operator import sub
 
 import numpy as np
@@ -59,9 +59,13 @@ def words_of(text: str | None) -> list[str]:
     without spaces between words every character is a word."""
     if not text:
         return []
-    if _DAMAGED.search(text):
+    ascii_only = text.isascii()
+    if not ascii_only and _DAMAGED.search(text):
         text = _DAMAGED.sub(_repair, text)
-    text = _MARKS.sub(" ", text)
+    if not ascii_only or "[" in text or "*" in text:
+        text = _MARKS.sub(" ", text)
+    if ascii_only:
+        return _WORDS.findall((_HYPHENS.sub("", text) if "-" in text else text).lower())
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text.replace("\xad", "-"))
         text = _COMBINING.sub("", text)
@@ -147,8 +151,7 @@ class TestIndex:
             self.buckets.append((np.searchsorted(best[order], np.arange(len(self.universe) + 1)), order.astype(np.int32)))
 
     def codes(self, words: list[str]) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.array([get(w, 0) for w in words], np.int64)
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
 
     def shingles(self, codes: np.ndarray) -> np.ndarray:
         a = self.weights
@@ -174,13 +177,13 @@ class TestIndex:
         u = np.where(telling, at, -1)
         u = np.append(u, np.full(n * BLOCK - len(u), -1)).reshape(n, BLOCK)
         u2 = np.concatenate([u, np.concatenate([u[1:], np.full((1, BLOCK), -1)])], axis=1)  # segments of two blocks
-        pairs, low = [], 0
+        pairs, low, least = [], 0, self.need.min(initial=len(self.universe))
         for high, functions in SIZE_CLASSES:
-            rows = np.flatnonzero((size > low) & (size <= high))
+            rows = np.flatnonzero((size > low) & (size <= high) & (held >= least))
             low = high
             if not len(rows):
                 continue
-            holds = u2[rows]
+            holds = np.sort(u2[rows], axis=1)[:, -high:]  # what isn't there comes first
             for f in range(functions):
                 ranks = self.padded[f][holds]  # -1 reads the last
                 best = holds[np.arange(len(rows)), ranks.argmin(axis=1)]
@@ -234,7 +237,7 @@ class TestIndex:
         n, (cube, base, _) = len(self.texts[key]), self.weights
         for shingle, mine in ((2, self.pair_codes[key]), (3, self.triple_codes[key])):
             there = set((part[:-1] * base + part[1:] if shingle == 2 else part[:-2] * cube + part[1:-1] * base + part[2:]).tolist())
-            kept = [0, *accumulate(x in there for x in mine)]
+            kept = [0, *accumulate(map(there.__contains__, mine))]
             if key[1]:
                 if kept[-1] < kept_at_least(n, n // EDITS_IN, shingle):
                     return False
@@ -251,10 +254,14 @@ class TestIndex:
                 continue
             text, is_question = self.texts[key], key[1]
             margin = 8 + (len(text) if is_question else 0)
-            blocks = sorted(set(blocks))
-            groups = np.split(np.array(blocks), np.flatnonzero(np.diff(blocks) > 1) + 1)
-            for g in groups:
-                cut = slice(max(0, int(g[0]) * BLOCK - margin), (int(g[-1]) + 2) * BLOCK + margin)
+            groups: list[list[int]] = []
+            for b in sorted(set(blocks)):
+                if groups and b - groups[-1][1] <= 1:
+                    groups[-1][1] = b
+                else:
+                    groups.append([b, b])
+            for first, last in groups:
+                cut = slice(max(0, first * BLOCK - margin), (last + 2) * BLOCK + margin)
                 part = words[cut]
                 if self.holds_shingles(key, codes[cut]) and holds_run(text, part, len(text) if is_question else min(RUN_WORDS, len(text)), is_question):
                     out.update(self.cases[key])
@@ -267,9 +274,32 @@ def kept_at_least(width: int, edits: int, shingle: int) -> int:
     return width - shingle + 1 - shingle * edits
 
 
+def common_in_order(text: list[str], part: list[str]) -> int:
+    """Words of the longest common subsequence, by bits over ``text``."""
+    masks: dict[str, int] = {}
+    for n, w in enumerate(text):
+        masks[w] = masks.get(w, 0) | 1 << n
+    every = (1 << len(text)) - 1
+    v = every
+    for w in filter(masks.__contains__, part):
+        u = v & masks[w]
+        v = (v + u | v - u) & every
+    return len(text) - v.bit_count()
+
+
+def may_hold_run(text: list[str], part: list[str], width: int, whole: bool) -> bool:
+    """Whether ``part`` has in order as many words of ``text``, or of ``width`` neighbouring ones, as ``holds_run`` asks of
+    any alignment: without them none needs to be found."""
+    need = width - width // EDITS_IN - (not whole)
+    held = [0, *accumulate(map(set(part).__contains__, text))]
+    return any(high - low >= need and common_in_order(text[at : at + width], part) >= need for at, (low, high) in enumerate(zip(held, held[width:])))
+
+
 def holds_run(text: list[str], part: list[str], least: int, whole: bool) -> bool:
     """Whether ``part`` holds, in order, ``least`` or more consecutive words of ``text`` (all, if ``whole``) with at most
     one edit in eight words."""
+    if not may_hold_run(text, part, len(text) if whole else min(least, len(text)), whole):
+        return False
     m = SequenceMatcher(None, text, part, autojunk=False)
     at = np.full(len(text), -1)
     for a, b, n in m.get_matching_blocks():

@@ -112,3 +112,26 @@ def test_text_without_spaces_and_one_passage_in_many_cases(spark):
     tests = spark.createDataFrame([(1, han, None), *many], "case_id long, passage string, question string")
     got = {tuple(r) for r in leaks.find_leaks(documents, tests).collect()}
     assert got == {(1, 1)} | {(2, 10 + i) for i in range(50)}
+
+
+def test_no_alignment_where_none_can_hold_a_run(monkeypatch):
+    rng = random.Random(11)
+    aligned = []
+    real = leaks.SequenceMatcher
+    monkeypatch.setattr(leaks, "SequenceMatcher", lambda *x, **y: aligned.append(x) or real(*x, **y))
+    passage = text(rng, 80)
+    shuffled = passage[:]
+    rng.shuffle(shuffled)  # all words, but not in order
+    assert not leaks.holds_run(passage, shuffled, 20, False) and not leaks.holds_run(passage[:24], shuffled, 24, True)
+    assert not aligned
+    want = 0
+    for n in range(400):
+        part = [*text(rng, rng.randint(0, 40)), *edited(rng, passage[(at := rng.randrange(50)) : at + rng.randint(12, 60)], rng.randint(3, 14)), *text(rng, 30)]
+        for mine, whole in ((passage, False), (passage[at : at + 30], True)):
+            least = len(mine) if whole else 20
+            with monkeypatch.context() as m:
+                m.setattr(leaks, "may_hold_run", lambda *_: True)
+                held = leaks.holds_run(mine, part, least, whole)
+            assert held == leaks.holds_run(mine, part, least, whole), (n, whole)
+            want += held
+    assert 100 < want < 700
